@@ -25,6 +25,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuscle.llm.ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuscle.llm.warc import warc_round_trip
 
@@ -37,6 +43,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuscle.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuscle.llm.best_fit_packing import best_fit_packing
 

@@ -104,7 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: larger neighbours of a node go to the least of its neighbourhood.
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         # Small star: smaller neighbours of a node, and the node itself, go to the least of them.
         low = large.groupBy("b").agg(F.min("a").alias("m"))
