@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from corpuscle import queries as registry
+from corpuscle.queries import Query
+from corpuscle.queries import architecture, graph, journal, metadata, relations, search, structure  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
