@@ -53,6 +53,11 @@ ROUNDS = 30
 KEPT_IN_A_MAP = 100_000
 
 
+def let(value: Column, body: object) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _digest(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """128 hexadecimal digits."""
     return F.concat(*[F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(str(part)), kind, attempt.cast("string"), canon), 256) for part in (0, 1)])
@@ -99,14 +104,26 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
 
 
+def poured(fresh: Column, layout: Column) -> Column:
+    """The letters and digits of ``fresh`` in the places that the layout has for them."""
+    place = lambda i: F.length(F.regexp_replace(F.substring(layout, F.lit(1), i), "[^0-9A-Za-z]", ""))
+    return _chars(layout, lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(fresh, place(i), F.lit(1))).otherwise(c))
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, "[^0-9A-Za-z]", "")
+
+
 def _card(text: Column, digest: Column) -> Column:
     """First digit kept; the last one keeps the Luhn check as it was."""
-    fresh = F.concat(F.substring(text, 1, 1), same_layout(F.substring(text, F.lit(2), F.length(text) - 1), digest, digits_only=True))
-    head = F.substring(fresh, F.lit(1), F.length(fresh) - 1)
-    plain = lambda c: F.regexp_replace(c, "[^0-9]", "")
-    need = (10 - luhn_sum(F.concat(plain(head), F.lit("0"))) % 10) % 10
-    valid = luhn_sum(plain(text)) % 10 == 0
-    return F.when(valid, F.concat(head, need.cast("string"))).otherwise(fresh)
+
+    def drawn(digits: Column) -> Column:
+        fresh = F.concat(F.substring(digits, 1, 1), same_layout(F.substring(digits, F.lit(2), F.length(digits) - 1), digest, digits_only=True))
+        head = F.substring(fresh, F.lit(1), F.length(fresh) - 1)
+        need = (10 - luhn_sum(F.concat(head, F.lit("0"))) % 10) % 10
+        return F.when(luhn_sum(digits) % 10 == 0, F.concat(head, need.cast("string"))).otherwise(fresh)
+
+    return let(let(_bare(text), drawn), lambda fresh: poured(fresh, text))
 
 
 def _ip(text: Column, digest: Column) -> Column:
@@ -117,9 +134,18 @@ def _ip(text: Column, digest: Column) -> Column:
 
 
 def _phone(text: Column, digest: Column) -> Column:
-    """The country code stays."""
-    code = F.regexp_extract(text, r"^\+\d{1,3}(?=[ .\-(])|^\+\d{1,2}", 0)
-    return F.concat(code, same_layout(F.substring(text, F.length(code) + 1, F.length(text)), digest, digits_only=True))
+    """The country code stays, as far as it is one digit (1, 7) or two."""
+    def drawn(digits: Column) -> Column:
+        code = F.when(digits.rlike("^[17]"), 1).otherwise(2)
+        return F.concat(F.substring(digits, F.lit(1), code), same_layout(F.substring(digits, code + 1, F.length(digits)), digest, digits_only=True))
+
+    return let(let(_bare(text), drawn), lambda fresh: poured(fresh, text))
+
+
+def _iban(text: Column, digest: Column) -> Column:
+    """The country stays."""
+    drawn = lambda bare: F.concat(F.substring(bare, 1, 2), same_layout(F.substring(bare, F.lit(3), F.length(bare)), digest))
+    return let(let(_bare(text), drawn), lambda fresh: poured(fresh, text))
 
 
 def _email(key: str, text: Column, digest: Column) -> Column:
@@ -155,11 +181,6 @@ def canonical(kind: Column, text: Column) -> Column:
     return F.when(kind.isin("email"), F.lower(text)).when(kind.isin("card", "iban", "phone"), F.regexp_replace(text, r"[ .\-()]", "")).when(kind.startswith("name"), F.lower(text)).otherwise(text)
 
 
-def let(value: Column, body: object) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def parsed(entity: Column) -> Column:
     """(kind, title, parts): parts are what has surrogates of its own, names word by word."""
     title = F.regexp_extract(entity, rf"^(?:{MALE}|{FEMALE}|{NEUTRAL})\.?[ \t]", 0)
@@ -173,7 +194,7 @@ def parsed(entity: Column) -> Column:
 def surrogate(key: str, kind: Column, text: Column, attempt: Column) -> Column:
     def drawn(d: Column) -> Column:
         return (
-            F.when(kind == "email", _email(key, text, d)).when(kind == "ip", _ip(text, d)).when(kind == "card", _card(text, d)).when(kind == "phone", _phone(text, d))
+            F.when(kind == "email", _email(key, text, d)).when(kind == "ip", _ip(text, d)).when(kind == "card", _card(text, d)).when(kind == "phone", _phone(text, d)).when(kind == "iban", _iban(text, d))
             .when((kind == "secret") & text.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _hex(text, d)).when(kind == "social", same_layout(text, d, digits_only=True))
             .when(kind.startswith("name"), _name(kind, text, d)).otherwise(same_layout(text, d))
         )
