@@ -63,26 +63,34 @@ def measured(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
 
 
+def beta_prior(n: float, hosts: float, nn: float, failures: float, squares: float) -> tuple[float, float]:
+    """Mean and strength of the beta prior of hosts' failure rates.
+
+    ``n`` documents on ``hosts`` hosts, ``nn`` the sum of squared host sizes, ``squares`` the sum of
+    failures squared over documents.  The strength is a number of documents, from 1 to a million.
+    """
+    if not n:
+        return 0.0, 1.0
+    mean = failures / n
+    noise, spread = mean * (1 - mean), n - nn / n
+    between = (squares - n * mean * mean - (hosts - 1) * noise) / spread if spread > 0 else 0.0
+    return mean, min(1e6, max(1.0, noise / between - 1)) if between > 0 else 1e6
+
+
 def host_verdicts(documents: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """host, documents, and under each rule the failures and the shrunk rate; host_failed."""
     named = rules()
     hosts = documents.groupBy("host").agg(F.count("*").alias("documents"), *[F.sum(rule.cast("int")).alias(f"{name}_failures") for name, rule in named.items()])
-    # Over all hosts: mean, and the between-host variance by the method of moments.
-    moments = hosts.agg(F.sum("documents").alias("n"), F.count("*").alias("k"), F.sum(F.col("documents") * F.col("documents")).alias("nn"), *[
+    # Over all hosts: mean, and the between-host variance by the method of moments.  One row of sums.
+    sums = hosts.agg(F.sum("documents").cast("double").alias("n"), F.count("*").cast("double").alias("k"), F.sum(F.col("documents").cast("double") * F.col("documents")).alias("nn"), *[
         x for name in named for x in (
-            F.sum(f"{name}_failures").alias(f"{name}_f"),
+            F.sum(f"{name}_failures").cast("double").alias(f"{name}_f"),
             F.sum(F.col(f"{name}_failures") * F.col(f"{name}_failures") / F.col("documents")).alias(f"{name}_ff"),
         )
-    ]).withColumn("one", F.lit(1))
-    joined = hosts.withColumn("one", F.lit(1)).join(F.broadcast(moments), "one")  # one row
-    shrunk = joined
-    for name in named:
-        mean = F.col(f"{name}_f") / F.col("n")
-        inside = F.col("k") - 1
-        spread = F.col("n") - F.col("nn") / F.col("n")  # sum of n_i less its quadratic share
-        noise = mean * (1 - mean)
-        between = (F.col(f"{name}_ff") - F.col("n") * mean * mean - inside * noise) / F.when(spread > 0, spread)
-        strength = F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.when(between > 0, noise / between - 1).otherwise(F.lit(1e6))))
+    ]).first()
+    prior = {name: beta_prior(sums["n"] or 0.0, sums["k"], sums["nn"] or 0.0, sums[f"{name}_f"] or 0.0, sums[f"{name}_ff"] or 0.0) for name in named}
+    shrunk = hosts
+    for name, (mean, strength) in prior.items():
         shrunk = shrunk.withColumn(f"{name}_rate", (F.col(f"{name}_failures") + mean * strength) / (F.col("documents") + strength))
     failed = F.greatest(*[F.col(f"{name}_rate") for name in named]) > host_limit
     return shrunk.select("host", "documents", *[c for name in named for c in (f"{name}_failures", f"{name}_rate")], failed.alias("host_failed"))

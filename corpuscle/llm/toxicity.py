@@ -119,11 +119,10 @@ class Restorer:
     def words(self, raw: str) -> list[str]:
         """The words that a lower-case word without white space stands for."""
         word = bare(raw)
-        if is_disguised(word):
-            return decode(word, self.model).split()
+        out = decode(word, self.model).split() if is_disguised(word) else [word] if word else []
         if word != raw and is_disguised(raw):  # a sign at the edge may be a letter
-            return [word, *decode(raw, self.model).split()]
-        return [word] if word else []
+            out += decode(raw, self.model).split()
+        return out
 
     def spaced(self, text: str) -> list[str]:
         """Words spelt with spaced letters."""
