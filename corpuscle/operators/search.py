@@ -117,9 +117,8 @@ def first_eligible(files: DataFrame, most: int) -> DataFrame:
 
     The cut is a path, found by a top-k, so no task ranks all files.
     """
-    cut = files.select("path").orderBy("path").limit(most).agg(F.max("path").alias("__cut"), F.lit(1).alias("__one"))
-    joined = files.withColumn("__one", F.lit(1)).join(F.broadcast(cut), "__one")  # one row
-    return joined.withColumn("analysed", F.coalesce(F.col("path") <= F.col("__cut"), F.lit(False))).drop("__cut", "__one")
+    cut = files.select("path").orderBy("path").limit(most).agg(F.max("path")).first()[0]  # one value
+    return files.withColumn("analysed", F.lit(False) if cut is None else F.col("path") <= cut)
 
 
 def structure_summary(segments_: DataFrame) -> DataFrame:
