@@ -5,6 +5,11 @@ edits of the item has at least one of the pieces unchanged.  An Aho-Corasick aut
 finds all exact piece hits in a document; each hit fixes where the item would stand, give or
 take k characters, and Myers' bit-parallel distance verifies that stretch exactly.
 
+A hit is verified from the piece outwards: pieces are the leaves of a tree that halves the
+item, and a node over n leaves has a budget of n - 1 edits.  Of a passage within budget, one
+half is within its own, and so on down; so some hit passes at every node above it, and a
+hit that fails at one, mostly at a short one near the leaf, needs no more.
+
 Texts are compared in lower case with runs of white space as one space.  The budget is a
 share of an item's length.  Empty or null items match nothing; items in several rows are
 matched each; null or empty documents have no match.  Items are taken to the executors in
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,14 +39,20 @@ def normal(text: str | None) -> str:
 
 def myers(item: str, text: str, most: int) -> tuple[int, int] | None:
     """Least edit distance of the item to a substring of the text, at most ``most``, and where that ends."""
-    m = len(item)
-    peq: dict[str, int] = defaultdict(int)
+    return _scan(_masks(item), len(item), text, most)
+
+
+def _masks(item: str) -> dict[str, int]:
+    """For each character, the places where the item has it."""
+    masks: dict[str, int] = defaultdict(int)
     for i, c in enumerate(item):
-        peq[c] |= 1 << i
-    return _scan(peq, m, text, most)
+        masks[c] |= 1 << i
+    return dict(masks)
 
 
 def _scan(peq: dict[str, int], m: int, text: str, most: int) -> tuple[int, int] | None:
+    if len(text) < m - most:
+        return None
     full, high = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = full, 0, m
     best, where = most + 1, -1
@@ -66,24 +78,55 @@ def _scan(peq: dict[str, int], m: int, text: str, most: int) -> tuple[int, int]
     return (best, where) if best <= most else None
 
 
+class Node(NamedTuple):
+    """Characters ``start`` to ``end`` of an item, with their masks, and the edits they may have."""
+
+    start: int
+    end: int
+    budget: int
+    masks: dict[str, int]
+
+
+class Item:
+    def __init__(self, key: int | None, text: str, rate: float) -> None:
+        self.key, self.text, self.k = key, text, int(len(text) * rate)
+        self.cuts = [len(text) * j // (self.k + 1) for j in range(self.k + 2)]
+        self.above: list[list[Node]] = [[] for _ in range(self.k + 1)]
+        self._split(0, self.k + 1)
+
+    def _split(self, first: int, last: int) -> None:
+        """Nodes over the leaves ``first`` to ``last``, each after those below it."""
+        if last - first < 2:
+            return
+        middle = (first + last) // 2
+        self._split(first, middle)
+        self._split(middle, last)
+        node = Node(self.cuts[first], self.cuts[last], last - first - 1, _masks(self.text[self.cuts[first] : self.cuts[last]]))
+        for leaf in range(first, last):
+            self.above[leaf].append(node)
+
+    def verified(self, text: str, at: int, leaf: int) -> tuple[int, int] | None:
+        """(edits, end) of the item about a piece hit at a place of the text."""
+        found = (0, at + len(self.text))
+        for node in self.above[leaf]:
+            start = at + node.start - self.cuts[leaf]
+            low = max(0, start - node.budget)
+            found = _scan(node.masks, node.end - node.start, text[low : max(0, start + node.end - node.start + node.budget)], node.budget)
+            if not found:
+                return None
+            found = (found[0], low + found[1])
+        return found
+
+
 class ItemMatcher:
     def __init__(self, items: list[tuple[int | None, str]], rate: float) -> None:
         import ahocorasick
 
-        self.items: list[tuple[int | None, str, int, dict[str, int]]] = []
+        self.items = [Item(key, text, rate) for key, text in items if len(text) >= LEAST_ITEM]
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for key, text in items:
-            if len(text) < LEAST_ITEM:
-                continue
-            k = int(len(text) * rate)
-            masks: dict[str, int] = defaultdict(int)
-            for i, c in enumerate(text):
-                masks[c] |= 1 << i
-            n = len(self.items)
-            self.items.append((key, text, k, dict(masks)))
-            cuts = [len(text) * j // (k + 1) for j in range(k + 2)]
-            for a, b in zip(cuts, cuts[1:]):
-                pieces[text[a:b]].append((n, a))
+        for n, item in enumerate(self.items):
+            for leaf, (a, b) in enumerate(zip(item.cuts, item.cuts[1:])):
+                pieces[item.text[a:b]].append((n, leaf))
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -92,32 +135,22 @@ class ItemMatcher:
         self.any = bool(pieces)
 
     def matches(self, text: str) -> list[tuple[int | None, int, int]]:
-        """(item, distance, end) of every item that stands in the text within its budget."""
+        """(item, edits, end) of every item that stands in the text within its budget: the fewest edits, then the first end."""
         if not self.any or not text:
             return []
-        hits: dict[int, list[int]] = defaultdict(list)
+        best: dict[int, tuple[int, int]] = {}
+        seen: set[tuple[int, int]] = set()  # items verified where they would start here
         for end, (size, places) in self.automaton.iter(text):
-            for n, a in places:
-                hits[n].append(end + 1 - size - a)
-        out = []
-        for n, starts in hits.items():
-            key, item, k, masks = self.items[n]
-            starts.sort()
-            best: tuple[int, int] | None = None
-            i = 0
-            while i < len(starts) and (best is None or best[0]):
-                # Hits whose stretches overlap are verified together.
-                j = i
-                while j + 1 < len(starts) and starts[j + 1] - starts[j] <= 2 * k:
-                    j += 1
-                low = max(0, starts[i] - k)
-                found = _scan(masks, len(item), text[low : starts[j] + len(item) + k], k)
-                if found and (best is None or found[0] < best[0]):
-                    best = (found[0], low + found[1])
-                i = j + 1
-            if best:
-                out.append((key, *best))
-        return out
+            for n, leaf in places:
+                item = self.items[n]
+                at = end + 1 - size
+                start = (n, at - item.cuts[leaf])
+                if n in best and not best[n][0] or start in seen:
+                    continue
+                if found := item.verified(text, at, leaf):
+                    seen.add(start)
+                    best[n] = min(best.get(n, found), found)
+        return [(self.items[n].key, *found) for n, found in best.items()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
