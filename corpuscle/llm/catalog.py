@@ -85,4 +85,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from corpuscle.llm.oracles import SQL
+
+    return dict(SQL)
