@@ -5,8 +5,9 @@ own; the remaining pieces are dealt to partitions of bounded size and packed the
 best-fit decreasing.  Lower bounds from dual feasible functions over a partition's lengths
 certify its number of bins.  Partitions with a gap between bins and bound give the
 documents of their underfull bins to an exchange, where best-fit decreasing runs again over
-fewer partitions, until the whole meets the bound over all lengths or the exchange gains
-nothing.  The certificate and the bins left over are in ``packing_report``.
+fewer partitions, until the whole meets the bound over all lengths, nothing is left to
+exchange, or four rounds are over.  ``pack_pieces`` also returns what each round reached and
+the bound; ``packing_report`` counts a result's sequences against their volume.
 
 Null texts count as empty (one end token); repeated rows are pieces of their own; empty
 tables give no rows.
@@ -15,7 +16,7 @@ tables give no rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -95,7 +96,13 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, size: int, end_id: int) -> D
     return written(found.withColumn("item", F.monotonically_increasing_id()), "pieces")
 
 
-def _pack_groups(size: int, tolerance: int) -> object:
+def _pack_groups(size: int) -> object:
+    """Best-fit decreasing of a partition, its bound, and which bins it gives to the exchange.
+
+    A partition with a gap gives all bins that lack more than a 256th; a certified one only
+    bins that lack more than an eighth, which others may fill up.
+    """
+
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("item", ignore_index=True)
         lengths = group["length"].to_numpy()
@@ -107,6 +114,7 @@ def _pack_groups(size: int, tolerance: int) -> object:
         offset = np.empty(len(bins), np.int64)
         offset[order] = ends - lengths[order] - np.maximum.accumulate(np.where(first, ends - lengths[order], 0))
         gap = len(free) - bound
+        tolerance = size // 256 if gap else size // 8
         return pd.DataFrame({"item": group["item"], "length": lengths, "part": group["part"], "bin": bins, "offset": offset, "underfull": free[bins] > tolerance, "gap": gap, "bound": bound})
 
     return pack
@@ -120,24 +128,25 @@ def pack_lengths(items: DataFrame, total: int, bound: int, size: int) -> tuple[D
     done: list[DataFrame] = []
     report: list[dict] = []
     schema = "item long, length long, part int, bin long, offset long, underfull boolean, gap long, bound long"
-    rest, left = items, total
+    rest, left, kept = items, total, 0
     for round_ in range(ROUNDS):
+        placed = ["item", F.lit(round_).alias("round"), "part", "bin", "offset"]
         parts = max(1, -(-left // PARTITION_PIECES))
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("item", F.lit(round_)), F.lit(parts)).cast("int"))
-        packed = written(dealt.groupBy("part").applyInPandas(_pack_groups(size, size // 256), schema), "packed")
+        packed = written(dealt.groupBy("part").applyInPandas(_pack_groups(size), schema), "packed")
         last = parts == 1 or round_ == ROUNDS - 1
         seen = packed.groupBy("part").agg(F.max("gap").alias("gap"), F.max("bin").alias("top")).agg(F.sum(F.col("top") + 1).alias("bins"), F.sum(F.when(F.col("gap") == 0, 1).otherwise(0)).alias("certified")).first()
         report.append({"round": round_, "parts": parts, "items": left, "bins": int(seen["bins"] or 0), "certified": int(seen["certified"] or 0)})
-        # Bins with room in uncertified partitions are opened; so is the last, least full bin of certified ones.
-        opened = F.col("underfull")
-        keep = packed if last else packed.where(~opened)
-        done.append(keep.select("item", F.lit(round_).alias("round"), "part", "bin", "offset"))
-        if last:
-            break
-        rest = packed.where(opened).select("item", "length")
-        left = rest.count()
-        if not left or left == report[-1]["items"]:
+        certified = report[-1]["bins"] + kept == bound  # no fewer bins could hold them all
+        rest = packed.where("underfull").select("item", "length")
+        opened = 0 if last or certified else rest.count()
+        if not 0 < opened < left:  # nothing to exchange, or nothing that could stay behind
+            done.append(packed.select(*placed))
             break
+        keep = packed.where("not underfull")
+        done.append(keep.select(*placed))
+        kept += keep.select("part", "bin").distinct().count()
+        left = opened
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
@@ -169,7 +178,3 @@ def packing_report(packed: DataFrame, size: int = 4096) -> DataFrame:
     """One row: sequences, the bound that certifies them, and full sequences' share of all places."""
     per = packed.groupBy("sequence_id").agg(F.sum("length").alias("filled"))
     return per.agg(F.count("*").alias("sequences"), F.ceil(F.sum("filled") / size).alias("volume_bound"), (F.sum("filled") / (F.count("*") * size)).alias("utilisation"))
-
-
-def lengths_histogram(lengths: Iterable[int], size: int) -> np.ndarray:
-    return np.bincount(np.asarray(list(lengths), np.int64), minlength=size + 1)
