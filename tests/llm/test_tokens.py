@@ -151,3 +151,21 @@ def test_packing(spark, monkeypatch, pieces):
 def test_report(spark):
     df = spark.createDataFrame([(1, 4096), (2, 4000), (2, 90)], "sequence_id long, length long")
     assert best_fit_packing.packing_report(df).first()["sequences"] == 2
+
+
+@pytest.mark.parametrize("lengths", [[40] * 23, [40, 24] * 20, [64 - i % 7 for i in range(60)], [1] * 300, []])
+def test_no_piece_is_lost_in_the_exchange(spark, monkeypatch, lengths):
+    monkeypatch.setattr(best_fit_packing, "PARTITION_PIECES", 7)
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+    bound = best_fit_packing.lower_bound(np.bincount(np.asarray(lengths, np.int64), minlength=65), 64)
+    placed, report = best_fit_packing.pack_lengths(items, len(lengths), bound, 64)
+    rows = placed.join(items, "item").collect()
+    assert sorted(r["item"] for r in rows) == list(range(len(lengths)))
+    bins = {}
+    for r in sorted(rows, key=lambda r: r["offset"]):
+        key = r["round"], r["part"], r["bin"]
+        assert r["offset"] == bins.get(key, 0)
+        bins[key] = r["offset"] + r["length"]
+    assert all(b <= 64 for b in bins.values()) and bound <= len(bins) and report[-1] == {"bound": bound}
+    if lengths and lengths[0] == 40 and len(set(lengths)) == 1:
+        assert len(bins) == bound == len(lengths)
