@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 KEPT_WORDS = 1_000_000
+SIGNS = ".,;:!?%$&#*|"  # signs that make a word of their own after letters, with either kind of pre-tokenizer
 _UNEVEN = re.compile(r"\s \s?|^ | (?:\s|$)").search
 
 
@@ -34,6 +35,8 @@ class WordEncoder(dict):
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.byte_level = spec["pre_tokenizer"]["type"] == "ByteLevel"
         self.lead = " " if self.byte_level else ""  # a word's own space
+        self.lower = any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", [])) and not self.byte_level
+        self.unled: dict[str, bytes] = {}
         self.by_words = not (self.byte_level and spec["pre_tokenizer"]["add_prefix_space"])
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
@@ -41,20 +44,48 @@ class WordEncoder(dict):
     def ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
+    def parts(self, word: str) -> tuple[str, str]:
+        """Letters and the signs after them, if the word is just that: a word ends between the two.
+
+        Where the tokenizer lower-cases, so may ASCII letters be.
+        """
+        letters = word if word.isalpha() else word.rstrip(SIGNS)
+        if not letters.isalpha():
+            return word, ""
+        return letters.lower() if self.lower and letters.isascii() else letters, word[len(letters) :]
+
     def learn(self, words: set[str]) -> None:
         """Keep the ids of words that aren't kept yet."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > KEPT_WORDS:
+        new = {w: self.parts(w) for w in words if w not in self}
+        if len(self) + 2 * len(new) > KEPT_WORDS:
             self.clear()
-            new = list(words)
-        for w, found in zip(new, self.tokenizer.encode_batch_fast([self.lead + w for w in new], add_special_tokens=False)):
-            self[w] = np.asarray(found.ids, dtype=self.kind).tobytes()
+            new = {w: self.parts(w) for w in words}
+        heads = list({head for head, _ in new.values() if head not in self})
+        for head, found in zip(heads, self.tokenizer.encode_batch_fast([self.lead + w for w in heads], add_special_tokens=False)):
+            self[head] = np.asarray(found.ids, dtype=self.kind).tobytes()
+        for w, (head, signs) in new.items():
+            if w != head:
+                self[w] = self[head] + self.alone(signs) if signs else self[head]
+
+    def alone(self, text: str) -> bytes:
+        """The ids of a word without a space before it."""
+        found = self.unled.get(text)
+        if found is None:
+            if len(self.unled) >= KEPT_WORDS // 10:
+                self.unled.clear()
+            found = self.ids(text)
+            if len(text) <= 64:
+                self.unled[text] = found
+        return found
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         split = [t.split(" ") if self.by_words and t and not _UNEVEN(t) and not any(s in t for s in self.special) else None for t in texts]
+        if not self.lead:
+            self.learn({w for words in split if words for w in words})
+            return [b"".join(map(self.__getitem__, words)) if words else self.ids(t) for t, words in zip(texts, split)]
         self.learn({w for words in split if words for w in words[1:]})
-        return [b"".join([self.ids(words[0]), *map(self.__getitem__, words[1:])]) if words else self.ids(t) for t, words in zip(texts, split)]
+        return [b"".join([self.alone(words[0]), *map(self.__getitem__, words[1:])]) if words else self.ids(t) for t, words in zip(texts, split)]
 
     def in_steps(self, texts: list[str], most: int = 4 << 20) -> Iterator[bytes]:
         """As ``encode_many``, a few million characters at a time."""
