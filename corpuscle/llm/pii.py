@@ -39,8 +39,18 @@ PATTERNS = {
     "name": TITLED,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Cheap signs without which no pattern can match.
-SIGN = rf"@|\d{{3}}|\d\.\d|[0-9a-fA-F]{{32}}|(?:sk|pk|ghp|gho)[-_]|(?:{MALE}|{FEMALE}|{NEUTRAL})\.?[ \t]\p{{Lu}}"
+#: For each pattern a cheap sign without which it can't match.
+SIGNS = {
+    "email": "@",
+    "ip": r"\d\.\d",
+    "secret": r"AKIA|ASIA|(?:sk|pk|ghp|gho)[-_]|[0-9a-fA-F]{32}",
+    "iban": r"[A-Z]{2}\d{2}",
+    "phone": r"\+\d",
+    "social": r"\d{3}-",
+    "card": r"\d{4}",
+    "name": rf"(?:{MALE}|{FEMALE}|{NEUTRAL})\.?[ \t]\p{{Lu}}",
+}
+SIGN = "|".join(SIGNS[kind] for kind in PATTERNS)
 
 #: Syllables of invented names, by script: fixed values.
 SYLLABLES = {
