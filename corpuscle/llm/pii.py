@@ -8,7 +8,9 @@ still do; names keep the gender that the form of address tells.
 
 Distinct entities keep distinct surrogates: all entities of the corpus are gathered, and
 those whose surrogate another entity also has, or that is itself an entity of the corpus,
-are drawn again until none is left.  Only these redrawn ones are joined back.
+are drawn again until none is left.  Only these redrawn ones are joined back.  After
+``CALM`` draws each further one is from a wider space (longer names, local parts and
+numbers, other networks), so that small spaces that are full don't matter.
 
 Null texts stay null, texts without entities stay as they are, repeated rows are treated
 alike, other columns are kept.
@@ -59,7 +61,8 @@ SYLLABLES = {
     "cyrillic": "ба бе бо ва ве во га го да де до за зе ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са се со та те то",
 }
 ENDINGS = {"latin": ("n", "ra", "l"), "greek": ("ς", "ρα", "λ"), "cyrillic": ("н", "ра", "л")}
-ROUNDS = 30
+CALM = 8  # draws in an entity's own layout, before spaces widen
+ROUNDS = 400  # enough where even a layout that can't widen (social and card numbers, public addresses) is nine tenths full
 KEPT_IN_A_MAP = 100_000
 
 
@@ -136,20 +139,31 @@ def _card(text: Column, digest: Column) -> Column:
     return let(let(_bare(text), drawn), lambda fresh: poured(fresh, text))
 
 
-def _ip(text: Column, digest: Column) -> Column:
-    """Addresses of private networks stay in theirs."""
-    kept = F.when(text.rlike(r"^(10|127)\."), 1).when(text.rlike(r"^(192\.168|172\.(1[6-9]|2\d|3[01]))\."), 2).otherwise(0)
-    part = lambda x, i: F.when(i < kept, x).when(i == 0, (_number(digest, i, 99) + 128).cast("string")).otherwise((_number(digest, i, 254) + 1).cast("string"))
+def _wider(attempt: Column, most: int) -> Column:
+    """By how many characters a draw's space is wider than the entity's layout."""
+    return F.least(F.greatest(attempt - CALM, F.lit(0)), F.lit(most))
+
+
+def _more(letters: str, digest: Column, n: Column) -> Column:
+    """``n`` more characters, from places of the digest that short texts don't use."""
+    return F.when(n == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: _pick(letters, digest, i + 70)), ""))
+
+
+def _ip(text: Column, digest: Column, attempt: Column) -> Column:
+    """Addresses of private networks stay in theirs; where these are full, in 10.0.0.0, then in none."""
+    small = text.rlike(r"^(192\.168|172\.(1[6-9]|2\d|3[01]))\.")
+    kept = F.when(attempt > 2 * CALM, 0).when(text.rlike(r"^(10|127)\."), 1).when(small, F.when(attempt > CALM, 1).otherwise(2)).otherwise(0)
+    part = lambda x, i: F.when(i < kept, F.when(small & (kept == 1), "10").otherwise(x)).when(i == 0, (_number(digest, i, 99) + 128).cast("string")).otherwise((_number(digest, i, 254) + 1).cast("string"))
     return F.array_join(F.transform(F.split(text, r"\."), part), ".")
 
 
-def _phone(text: Column, digest: Column) -> Column:
+def _phone(text: Column, digest: Column, attempt: Column) -> Column:
     """The country code stays, as far as it is one digit (1, 7) or two."""
     def drawn(digits: Column) -> Column:
         code = F.when(digits.rlike("^[17]"), 1).otherwise(2)
         return F.concat(F.substring(digits, F.lit(1), code), same_layout(F.substring(digits, code + 1, F.length(digits)), digest, digits_only=True))
 
-    return let(let(_bare(text), drawn), lambda fresh: poured(fresh, text))
+    return F.concat(let(let(_bare(text), drawn), lambda fresh: poured(fresh, text)), _more("0123456789", digest, _wider(attempt, 8)))
 
 
 def _iban(text: Column, digest: Column) -> Column:
@@ -158,22 +172,24 @@ def _iban(text: Column, digest: Column) -> Column:
     return let(let(_bare(text), drawn), lambda fresh: poured(fresh, text))
 
 
-def _email(key: str, text: Column, digest: Column) -> Column:
+def _email(key: str, text: Column, digest: Column, attempt: Column) -> Column:
     """The domain's surrogate goes by the domain alone; its last label stays."""
     local, domain = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
     last = F.substring_index(domain, ".", -1)
     body = F.substring(domain, F.lit(1), F.length(domain) - F.length(last))
-    return F.concat(same_layout(local, digest), F.lit("@"), let(_digest(key, F.lit("domain"), F.lower(domain), F.lit(0)), lambda d: same_layout(body, d)), last)
+    return F.concat(same_layout(local, digest), _more("abcdefghijklmnopqrstuvwxyz", digest, _wider(attempt, 12)), F.lit("@"), let(_digest(key, F.lit("domain"), F.lower(domain), F.lit(0)), lambda d: same_layout(body, d)), last)
 
 
-def _name(kind: Column, text: Column, digest: Column) -> Column:
+def _name(kind: Column, text: Column, digest: Column, attempt: Column) -> Column:
     """An invented name in the script of the name, with an ending by gender."""
     ending = F.when(kind == "name_m", 0).when(kind == "name_f", 1).otherwise(2)
 
     def of(script: str) -> Column:
         syllables = F.split(F.lit(SYLLABLES[script]), " ")
         n = len(SYLLABLES[script].split())
-        return F.initcap(F.concat(*[F.get(syllables, _number(digest, F.lit(i), n)) for i in range(4)], F.get(F.array(*map(F.lit, ENDINGS[script])), ending)))
+        more = lambda: F.transform(F.sequence(F.lit(1), F.greatest(_wider(attempt, 12), F.lit(1))), lambda i: F.get(syllables, _number(digest, i + 70, n)))
+        longer = F.when(_wider(attempt, 12) == 0, "").otherwise(F.array_join(more(), ""))
+        return F.initcap(F.concat(*[F.get(syllables, _number(digest, F.lit(i), n)) for i in range(4)], longer, F.get(F.array(*map(F.lit, ENDINGS[script])), ending)))
 
     fresh = F.when(text.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(text.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
     return F.when((F.length(text) > 1) & (F.upper(text) == text), F.upper(fresh)).otherwise(fresh)
@@ -204,9 +220,9 @@ def parsed(entity: Column) -> Column:
 def surrogate(key: str, kind: Column, text: Column, attempt: Column) -> Column:
     def drawn(d: Column) -> Column:
         return (
-            F.when(kind == "email", _email(key, text, d)).when(kind == "ip", _ip(text, d)).when(kind == "card", _card(text, d)).when(kind == "phone", _phone(text, d)).when(kind == "iban", _iban(text, d))
+            F.when(kind == "email", _email(key, text, d, attempt)).when(kind == "ip", _ip(text, d, attempt)).when(kind == "card", _card(text, d)).when(kind == "phone", _phone(text, d, attempt)).when(kind == "iban", _iban(text, d))
             .when((kind == "secret") & text.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _hex(text, d)).when(kind == "social", same_layout(text, d, digits_only=True))
-            .when(kind.startswith("name"), _name(kind, text, d)).otherwise(same_layout(text, d))
+            .when(kind.startswith("name"), _name(kind, text, d, attempt)).otherwise(same_layout(text, d))
         )
 
     return let(_digest(key, kind, canonical(kind, text), attempt), drawn)
