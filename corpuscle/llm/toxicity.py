@@ -42,13 +42,13 @@ STANDS_FOR = {
 }
 SEPARATORS = ".-_*~'`^"
 COST_STAND, COST_SINGLE, COST_DROP, COST_SPACE = 0.4, 0.1, 0.3, 1.5
-LONGEST_DISGUISE = 64
+KEPT_COSTS = 500_000
 
 _LETTERS = re.compile(r"[^\W\d_]")
 _DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+€£(*.\-_~'`^]+[^\W\d_]|^[0-9@$!|€£]+[^\W\d_]{2}|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:\S[ \t.\-_*]){3,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S[ \t.\-_*]){2,}\S(?!\S)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_HEX = re.compile(r"[0-9a-f]{16,}|\S+@\S+\.\S+|\d")
+_HEX = re.compile(r"[0-9a-f]{16,}|[^@\s]+@[^@\s]+\.[^@\s]+|\d")
 _REPEATED = re.compile(r"(.)\1*")
 
 
@@ -66,10 +66,16 @@ class LanguageModel:
             pairs[t[:2]] += n
         self.pairs = dict(pairs)
         self.letters = max(2, len({t[2] for t in trigrams}))
+        self.kept: dict[str, float] = {}
 
     def cost(self, before: str, c: str) -> float:
         """-log P(c | the two characters before)."""
-        return math.log((self.pairs.get(before, 0) + 0.1 * self.letters) / (self.trigrams.get(before + c, 0) + 0.1))
+        t = before + c
+        if (known := self.kept.get(t)) is None:
+            if len(self.kept) >= KEPT_COSTS:
+                self.kept.clear()
+            known = self.kept[t] = math.log((self.pairs.get(before, 0) + 0.1 * self.letters) / (self.trigrams.get(t, 0) + 0.1))
+        return known
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
@@ -88,20 +94,25 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(word: str, model: LanguageModel) -> str:
-    """The reading of least cost: Viterbi over the lattice; a state is the last two characters."""
-    states: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
+    """The reading of least cost: Viterbi over the lattice, linear in length; a state is the last two characters and the way there."""
+    states: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
     for options in lattice(word):
-        after: dict[str, tuple[float, str]] = {}
-        for last, (cost, text) in states.items():
+        after: dict[str, tuple[float, tuple | None]] = {}
+        for last, (cost, way) in states.items():
             for s, k in options:
                 total, pair = cost + k, last
                 for c in s:
                     total += model.cost(pair, c)
                     pair = pair[1] + c
                 if pair not in after or total < after[pair][0]:
-                    after[pair] = (total, text + s)
+                    after[pair] = (total, (way, s))
         states = after
-    return min((cost + model.cost(pair, " "), text) for pair, (cost, text) in states.items())[1]
+    way = min(((cost + model.cost(pair, " "), pair, way) for pair, (cost, way) in states.items()), key=lambda x: x[:2])[2]
+    out = []
+    while way:
+        way, s = way
+        out.append(s)
+    return "".join(reversed(out))
 
 
 def bare(word: str) -> str:
@@ -109,7 +120,7 @@ def bare(word: str) -> str:
 
 
 def is_disguised(word: str) -> bool:
-    return len(word) <= LONGEST_DISGUISE and not _HEX.fullmatch(word) and _DISGUISED.search(word) is not None
+    return not _HEX.fullmatch(word) and _DISGUISED.search(word) is not None
 
 
 class Restorer:
@@ -128,7 +139,7 @@ class Restorer:
         """Words spelt with spaced letters."""
         if not _SPACED.search(text):
             return []
-        return [w for m in _SPACED.finditer(text) if len(m.group(0)) <= 4 * LONGEST_DISGUISE and _LETTERS.search(m.group(0)) for w in decode(m.group(0), self.model).split()]
+        return [w for m in _SPACED.finditer(text) if _LETTERS.search(m.group(0)) for w in decode(m.group(0), self.model).split()]
 
 
 def features(word: str) -> list[str]:

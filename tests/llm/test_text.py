@@ -200,6 +200,13 @@ def test_spaced_letters():
     assert not toxicity.is_disguised("9233a8ecf7c5b09fe5949719b6b82bc4") and not toxicity.is_disguised("a@mail.example.com") and not toxicity.is_disguised("word")
 
 
+def test_long_and_short_disguises():
+    r = toxicity.Restorer(model())
+    assert "idiot" in r.spaced(" ".join("there" * 40 + "idiot" + "there" * 200)) and r.words(".".join("there" * 40 + "idiot"))
+    assert any("idiot" in w for w in r.words(".".join("there" * 40 + "idiot")))
+    assert "the" in r.spaced("good t h e book")
+
+
 def toxic_table(spark, n=400):
     rnd = random.Random(4)
     words = ["the", "there", "little", "lost", "good", "book", "letter", "old", "house", "river"]
