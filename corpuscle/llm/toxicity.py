@@ -1,7 +1,7 @@
 """Toxicity scores of texts restored by a noisy-channel decoder.
 
-A character trigram model is counted over all documents.  Words that look disguised (digits
-or signs among letters, letters repeated three times or more, single letters spaced out) span
+A character trigram model is counted over all documents.  Words that may be disguised (digits
+or signs anywhere, repeated letters, single letters spaced out) span
 a lattice: each character may stand for itself or what it is used for, a repeated letter for
 one or two, a separator for nothing or a space.  Viterbi decoding under the language model
 and the channel's costs picks the reading.  A linear model over word beginnings and words of
@@ -45,7 +45,10 @@ COST_STAND, COST_SINGLE, COST_DROP, COST_SPACE = 0.4, 0.1, 0.3, 1.5
 KEPT_COSTS = 500_000
 
 _LETTERS = re.compile(r"[^\W\d_]")
-_DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+€£(*.\-_~'`^]+[^\W\d_]|^[0-9@$!|€£]+[^\W\d_]{2}|([^\W\d_])\1\1")
+_SIGNS = re.escape("".join(STANDS_FOR) + SEPARATORS)
+_DISGUISED = re.compile(rf"[{_SIGNS}]|([^\W\d_])\1")
+_PRICE = re.compile(r"[$€£+\-(|!]*\d[\d.,:]*[%!)€£$+\-|]*")
+_EDGE_SIGNS = re.compile(rf"^[^\w{re.escape(''.join(STANDS_FOR))}]+|[^\w{re.escape(''.join(STANDS_FOR))}]+$")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t.\-_*]){2,}\S(?!\S)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _HEX = re.compile(r"[0-9a-f]{16,}|[^@\s]+@[^@\s]+\.[^@\s]+|\d")
@@ -78,8 +81,8 @@ class LanguageModel:
         return known
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each stretch of the word, what it may stand for, with costs."""
+def lattice(word: str, doubled: bool = False) -> list[list[tuple[str, float]]]:
+    """For each stretch of the word, what it may stand for, with costs; ``doubled`` keeps two of a kind two."""
     out = []
     for run in _REPEATED.finditer(word):
         c, n = run.group(1), len(run.group(0))
@@ -88,15 +91,17 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             out.append([("", COST_DROP), (" ", COST_SPACE)])
         elif n == 1:
             out.append(forms)
+        elif doubled and n == 2:
+            out.append([(s * 2, k) for s, k in forms])
         else:
             out.append([(s, k + (0.0 if n > 2 else COST_SINGLE)) for s, k in forms] + [(s * 2, k) for s, k in forms])
     return out
 
 
-def decode(word: str, model: LanguageModel) -> str:
+def decode(word: str, model: LanguageModel, doubled: bool = False) -> str:
     """The reading of least cost: Viterbi over the lattice, linear in length; a state is the last two characters and the way there."""
     states: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
-    for options in lattice(word):
+    for options in lattice(word, doubled):
         after: dict[str, tuple[float, tuple | None]] = {}
         for last, (cost, way) in states.items():
             for s, k in options:
@@ -120,20 +125,33 @@ def bare(word: str) -> str:
 
 
 def is_disguised(word: str) -> bool:
-    return not _HEX.fullmatch(word) and _DISGUISED.search(word) is not None
+    """Has a sign or a repeated letter, and is no number, price, mail address or row of hexadecimal digits."""
+    return _DISGUISED.search(word) is not None and not _HEX.fullmatch(word) and not _PRICE.fullmatch(word) and any(c in STANDS_FOR or c.isalpha() for c in word)
 
 
 class Restorer:
     def __init__(self, model: LanguageModel) -> None:
         self.model = model
 
-    def words(self, raw: str) -> list[str]:
-        """The words that a lower-case word without white space stands for."""
+    def readings(self, raw: str) -> list[list[str]]:
+        """What a lower-case word without white space stands for: the likeliest words, then other ways to read it."""
         word = bare(raw)
-        out = decode(word, self.model).split() if is_disguised(word) else [word] if word else []
-        if word != raw and is_disguised(raw):  # a sign at the edge may be a letter
-            out += decode(raw, self.model).split()
-        return out
+        out = []
+        # Signs at the edge may be letters.
+        for form in dict.fromkeys((word, _EDGE_SIGNS.sub("", raw))):
+            if not is_disguised(form):
+                out += [[form]] if form and form == word else []
+                continue
+            plain = form.isalpha() and not any(len(m[0]) > 2 for m in _REPEATED.finditer(form))
+            out += [[form]] if plain else []  # doubled letters are mostly meant
+            out.append(decode(form, self.model).split())
+            if not plain and any(len(m[0]) == 2 for m in _REPEATED.finditer(form)):
+                out.append(decode(form, self.model, doubled=True).split())
+        return [r for i, r in enumerate(out) if r and r not in out[:i]]
+
+    def words(self, raw: str) -> list[str]:
+        """The words of all readings."""
+        return [w for r in self.readings(raw) for w in r]
 
     def spaced(self, text: str) -> list[str]:
         """Words spelt with spaced letters."""
@@ -159,7 +177,10 @@ class Extractor(dict):
     def __missing__(self, raw: str) -> tuple:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        found = self.of(self.restorer.words(raw))
+        found: Counter = Counter()
+        for reading in self.restorer.readings(raw):
+            found |= Counter(self.of(reading))  # what readings share counts once
+        found = tuple(found.elements())
         if len(raw) <= 64:
             self[raw] = found
         return found

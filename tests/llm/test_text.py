@@ -200,6 +200,22 @@ def test_spaced_letters():
     assert not toxicity.is_disguised("9233a8ecf7c5b09fe5949719b6b82bc4") and not toxicity.is_disguised("a@mail.example.com") and not toxicity.is_disguised("word")
 
 
+@pytest.mark.parametrize(("written", "meant"), [("idio7", "idiot"), ("@$$", "ass"), ("a55", "ass"), ("a$$", "ass"), ("5h17", "shit"), ("sstupiid", "stupid"), ("good", "good"), ("idio7!", "idiot"), ("idiot!", "idiot")])
+def test_signs_anywhere(written, meant):
+    m = model()
+    for w in ["ass", "shit", "as"] * 20:
+        for i in range(len(w) + 1):
+            t = f"  {w} "[i : i + 3]
+            m.trigrams[t] = m.trigrams.get(t, 0) + 1
+    r = toxicity.Restorer(toxicity.LanguageModel(m.trigrams))
+    assert meant in r.words(written)
+
+
+def test_plain_words_and_numbers_stay():
+    r = toxicity.Restorer(model())
+    assert [r.words(w) for w in ("there,", "2024", "$5.50", "word.")] == [["there"], ["2024"], ["5.50"], ["word"]]
+
+
 def test_long_and_short_disguises():
     r = toxicity.Restorer(model())
     assert "idiot" in r.spaced(" ".join("there" * 40 + "idiot" + "there" * 200)) and r.words(".".join("there" * 40 + "idiot"))
