@@ -11,13 +11,15 @@ half is within its own, and so on down; so some hit passes at every node above i
 hit that fails at one, mostly at a short one near the leaf, needs no more.
 
 Texts are compared in lower case with runs of white space as one space.  The budget is a
-share of an item's length.  Empty or null items match nothing; items in several rows are
+share of an item's length.  Items of fewer than ``SHORT_ITEM`` characters match whole words
+only, edits among them (scripts without spaces have no word ends to mind).  Empty or null items match nothing; items in several rows are
 matched each; null or empty documents have no match.  Items are taken to the executors in
 slices of bounded size, one scan of the documents for each slice.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -30,7 +32,9 @@ from corpuscle.llm.support import bounded_batches, id_and_text
 
 ERROR_RATE = 0.1
 SLICE_CHARACTERS = 4_000_000
-LEAST_ITEM = 20  # characters of an item that can be told from chance
+SHORT_ITEM = 20  # under so many characters an item is matched at word boundaries
+#: Letters of scripts that set no spaces between words: fixed ranges.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normal(text: str | None) -> str:
@@ -78,6 +82,23 @@ def _scan(peq: dict[str, int], m: int, text: str, most: int) -> tuple[int, int]
     return (best, where) if best <= most else None
 
 
+def distance(a: str, b: str) -> int:
+    """Edit distance of two short strings."""
+    row = list(range(len(a) + 1))
+    for j, c in enumerate(b, 1):
+        last, row = row, [j]
+        for i, x in enumerate(a, 1):
+            row.append(min(last[i - 1] + (x != c), last[i] + 1, row[i - 1] + 1))
+    return row[-1]
+
+
+def is_boundary(text: str, at: int) -> bool:
+    """Whether no word of a script with spaces goes on across a place of the text."""
+    if at <= 0 or at >= len(text):
+        return True
+    return not all((c.isalnum() or c == "_") and not _UNSPACED.match(c) for c in text[at - 1 : at + 1])
+
+
 class Node(NamedTuple):
     """Characters ``start`` to ``end`` of an item, with their masks, and the edits they may have."""
 
@@ -107,6 +128,8 @@ class Item:
 
     def verified(self, text: str, at: int, leaf: int) -> tuple[int, int] | None:
         """(edits, end) of the item about a piece hit at a place of the text."""
+        if len(self.text) < SHORT_ITEM:
+            return self._whole_words(text, at - self.cuts[leaf])
         found = (0, at + len(self.text))
         for node in self.above[leaf]:
             start = at + node.start - self.cuts[leaf]
@@ -118,11 +141,22 @@ class Item:
         return found
 
 
+    def _whole_words(self, text: str, start: int) -> tuple[int, int] | None:
+        """(edits, end) of the nearest stretch of whole words that starts where the item would, give or take the budget."""
+        m, k, found = len(self.text), self.k, []
+        for low in range(max(0, start - k), min(start + k, len(text)) + 1):
+            if is_boundary(text, low):
+                for high in range(max(low + 1, low + m - k), min(low + m + k, len(text)) + 1):
+                    if is_boundary(text, high) and (d := distance(self.text, text[low:high])) <= k:
+                        found.append((d, high))
+        return min(found, default=None)
+
+
 class ItemMatcher:
     def __init__(self, items: list[tuple[int | None, str]], rate: float) -> None:
         import ahocorasick
 
-        self.items = [Item(key, text, rate) for key, text in items if len(text) >= LEAST_ITEM]
+        self.items = [Item(key, text, rate) for key, text in items if text]
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, item in enumerate(self.items):
             for leaf, (a, b) in enumerate(zip(item.cuts, item.cuts[1:])):
@@ -158,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = id_and_text(docs)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where(F.length("item_text") >= LEAST_ITEM)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where(F.length("item_text") > 0)
     slices = max(1, -(-int(items.agg(F.sum(F.length("item_text"))).first()[0] or 0) // SLICE_CHARACTERS))
     out = None
     for s in range(slices):

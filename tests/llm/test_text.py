@@ -173,6 +173,13 @@ def test_contaminated(spark):
     assert decontamination.contaminated(documents(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_short_items(spark):
+    bench = spark.createDataFrame(enumerate(["Who wrote Emma?", "Pi", "東京の人口", "the red house", " \t "]), "item_id long, text string")
+    texts = ["so: who wrote emma? Jane", "who wrote ema?", "who wrote mma", "pi is 3", "a pie, a spin", "今日は東京の人口を調べる", "The  red\nhorse", "the red horses", "bathe red house", ""]
+    found = sorted((r["doc_id"], r["item_id"], r["edits"]) for r in decontamination.contaminated(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), bench).collect())
+    assert found == [(0, 0, 0), (1, 0, 1), (3, 1, 0), (5, 2, 0), (6, 3, 1)]
+
+
 def test_items_in_slices(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "SLICE_CHARACTERS", 60)
     bench = spark.createDataFrame([(i, f"passage number {i} of the benchmark table") for i in range(9)], "item_id long, text string")
