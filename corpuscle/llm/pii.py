@@ -28,8 +28,15 @@ MALE = "Mr|Sir|Herr|Monsieur|Señor|Sr|Don|господин|г-н"
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|госпожа|г-жа"
 NEUTRAL = "Mx|Dr|Prof"
 
-NAME = r"\p{Lu}[\p{L}'’\-]{1,30}"
-TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.?[ \t]{NAME}(?:[ \t]{NAME})?"
+PARTICLE = "(?:van|von|vom|zu|zum|zur|der|den|dem|de|del|della|di|da|do|dos|das|du|des|la|las|le|los|el|al|bin|ibn|ben|ter|ten|y|e)"
+
+#: Names by words: capitalised ones, initials, and particles where a name goes on after them.
+TITLE = rf"(?:(?:{MALE}|{FEMALE}|{NEUTRAL})\.?[ \t])+"
+NAME = r"\p{Lu}(?:[\p{L}'’\-]+|\.)"
+NEXT = rf"(?:{PARTICLE}[ \t])*{NAME}"
+TITLED = rf"(?<![\p{{L}}\p{{N}}]){TITLE}{NEXT}(?:[ \t]{NEXT})*"
+IPV4 = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+HEX = "[0-9a-fA-F]{1,4}"
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
@@ -38,6 +45,15 @@ PATTERNS = {
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,3}(?!\w)",
     "social": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w-])(?:\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{4}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5})(?![\w-])",
+    "national": (
+        r"(?<![\w+.\-/])(?:\(\d{2,5}\)[ \-]?\d{2,4}(?:[ .\-]?\d{2,4}){1,3}|\d{3}[ .\-]\d{3}[ .\-]\d{4}"
+        r"|0\d(?:[ .\-]\d{2}){4}|0\d{1,4}[ /\-]\d{3,8}(?:[ \-]\d{2,5}){0,3}|0[1-9]\d{8,9})(?![\w/]|[.\-]\d)"
+    ),
+    # Eight groups, or fewer about ::, which needs a digit or a single colon besides (a::b is code).
+    "ip_6": (
+        rf"(?<![\w:.])(?:(?:{HEX}:){{6}}{IPV4}|(?:{HEX}(?::{HEX}){{0,4}})?::(?:{HEX}:){{0,4}}{IPV4}|(?:{HEX}:){{7}}{HEX}"
+        rf"|(?=(?:[0-9a-fA-F]{{0,4}}:){{2,8}}[0-9a-fA-F]{{0,4}}(?![\w:]))(?=[0-9a-fA-F:]*(?:\d|[0-9a-fA-F]:[0-9a-fA-F]))(?:{HEX}(?::{HEX}){{0,6}})?::(?:{HEX}(?::{HEX}){{0,6}})?)(?![\w:]|\.\d)"
+    ),
     "name": TITLED,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -50,7 +66,9 @@ SIGNS = {
     "phone": r"\+\d",
     "social": r"\d{3}-",
     "card": r"\d{4}",
-    "name": rf"(?:{MALE}|{FEMALE}|{NEUTRAL})\.?[ \t]\p{{Lu}}",
+    "national": r"\(\d{2}|\d{3}[ .\-/]\d{3}|0\d[ .\-/]\d{2}|0\d{9}|0\d{3,4}[ /\-]\d{3}",
+    "ip_6": f"::|{HEX}:{HEX}:{HEX}",
+    "name": rf"(?:{MALE}|{FEMALE}|{NEUTRAL})\.?[ \t](?:\p{{Lu}}|{PARTICLE}[ \t])",
 }
 SIGN = "|".join(SIGNS[kind] for kind in PATTERNS)
 
@@ -157,10 +175,33 @@ def _ip(text: Column, digest: Column, attempt: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\."), part), ".")
 
 
+def groups_of(text: Column) -> Column:
+    """The eight groups of an IPv6 address, in lower case without leading zeros (0 is empty)."""
+    tail = F.regexp_extract(text, rf"{IPV4}$", 0)
+    byte = lambda i: F.get(F.split(tail, r"\."), i).cast("int")
+    plain = F.when(tail == "", text).otherwise(F.concat(F.regexp_replace(text, rf"{IPV4}$", ""), F.hex(byte(0) * 256 + byte(1)), F.lit(":"), F.hex(byte(2) * 256 + byte(3))))
+
+    def filled(sides: Column) -> Column:
+        parts = lambda side: F.filter(F.split(F.coalesce(side, F.lit("")), ":"), lambda g: g != "")
+        left, right = parts(F.get(sides, 0)), parts(F.get(sides, 1))
+        return F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0))), right)
+
+    return F.transform(let(F.split(F.lower(plain), "::"), filled), lambda g: F.regexp_replace(g, "^0+", ""))
+
+
+def _ip_6(text: Column, digest: Column) -> Column:
+    """Written in full; groups of zeros stay, and so do the prefixes of local networks."""
+    def part(g: Column, i: Column) -> Column:
+        fresh = F.lower(F.hex(_number(digest, i, 61_440) + 4096))
+        return F.when(g == "", "0").when((i == 0) & g.rlike("^(?:fe[89ab].|f[cd]..)$"), g).otherwise(fresh)
+
+    return F.array_join(F.transform(groups_of(text), part), ":")
+
+
 def _phone(text: Column, digest: Column, attempt: Column) -> Column:
-    """The country code stays, as far as it is one digit (1, 7) or two."""
+    """The country code stays, as far as it is one digit (1, 7) or two; of a national number a first 0."""
     def drawn(digits: Column) -> Column:
-        code = F.when(digits.rlike("^[17]"), 1).otherwise(2)
+        code = F.when(text.startswith("+"), F.when(digits.rlike("^[17]"), 1).otherwise(2)).when(digits.startswith("0"), 1).otherwise(0)
         return F.concat(F.substring(digits, F.lit(1), code), same_layout(F.substring(digits, code + 1, F.length(digits)), digest, digits_only=True))
 
     return F.concat(let(let(_bare(text), drawn), lambda fresh: poured(fresh, text)), _more("0123456789", digest, _wider(attempt, 8)))
@@ -192,37 +233,42 @@ def _name(kind: Column, text: Column, digest: Column, attempt: Column) -> Column
         return F.initcap(F.concat(*[F.get(syllables, _number(digest, F.lit(i), n)) for i in range(4)], longer, F.get(F.array(*map(F.lit, ENDINGS[script])), ending)))
 
     fresh = F.when(text.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(text.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
-    return F.when((F.length(text) > 1) & (F.upper(text) == text), F.upper(fresh)).otherwise(fresh)
+    return F.when((F.length(text) > 1) & ~text.endswith(".") & (F.upper(text) == text), F.upper(fresh)).otherwise(fresh)
 
 
 def kind_of(entity: Column) -> Column:
     out = F.when(entity.contains("@"), "email")
-    for kind in ("ip", "secret", "iban", "phone", "social", "card"):
-        out = out.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
-    return out.when(entity.rlike(rf"^(?:{MALE})\.?[ \t]"), "name_m").when(entity.rlike(rf"^(?:{FEMALE})\.?[ \t]"), "name_f").otherwise("name_n")
+    for kind in ("ip", "secret", "iban", "phone", "social", "card", "national", "ip_6"):
+        out = out.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), "phone" if kind == "national" else kind)
+    neutral = rf"(?:(?:{NEUTRAL})\.?[ \t])*"
+    return out.when(entity.rlike(rf"^{neutral}(?:{MALE})\.?[ \t]"), "name_m").when(entity.rlike(rf"^{neutral}(?:{FEMALE})\.?[ \t]"), "name_f").otherwise("name_n")
 
 
 def canonical(kind: Column, text: Column) -> Column:
     """What makes two spellings the same entity."""
-    return F.when(kind.isin("email"), F.lower(text)).when(kind.isin("card", "iban", "phone"), F.regexp_replace(text, r"[ .\-()]", "")).when(kind.startswith("name"), F.lower(text)).otherwise(text)
+    return F.when(kind.isin("email"), F.lower(text)).when(kind.isin("card", "iban", "phone"), F.regexp_replace(text, r"[ .\-()/]", "")).when(kind == "ip_6", F.array_join(groups_of(text), ":")).when(kind.startswith("name"), F.lower(text)).otherwise(text)
 
 
 def parsed(entity: Column) -> Column:
-    """(kind, title, parts): parts are what has surrogates of its own, names word by word."""
-    title = F.regexp_extract(entity, rf"^(?:{MALE}|{FEMALE}|{NEUTRAL})\.?[ \t]", 0)
+    """(kind, title, parts): parts are what has surrogates of its own, names word by word (particles stay)."""
+    title = F.regexp_extract(entity, f"^{TITLE}", 0)
     return let(kind_of(entity), lambda kind: F.struct(
         kind.alias("kind"),
         F.when(kind.startswith("name"), title).otherwise("").alias("title"),
-        F.when(kind.startswith("name"), F.slice(F.split(entity, r"[ \t]"), 2, 2)).otherwise(F.array(entity)).alias("parts"),
+        F.when(kind.startswith("name"), F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), r"[ \t]")).otherwise(F.array(entity)).alias("parts"),
     ))
 
 
+def is_particle(kind: Column, part: Column) -> Column:
+    return kind.startswith("name") & part.rlike(f"^{PARTICLE}$")
+
+
 def surrogate(key: str, kind: Column, text: Column, attempt: Column) -> Column:
     def drawn(d: Column) -> Column:
         return (
             F.when(kind == "email", _email(key, text, d, attempt)).when(kind == "ip", _ip(text, d, attempt)).when(kind == "card", _card(text, d)).when(kind == "phone", _phone(text, d, attempt)).when(kind == "iban", _iban(text, d))
             .when((kind == "secret") & text.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _hex(text, d)).when(kind == "social", same_layout(text, d, digits_only=True))
-            .when(kind.startswith("name"), _name(kind, text, d, attempt)).otherwise(same_layout(text, d))
+            .when(kind == "ip_6", _ip_6(text, d)).when(kind.startswith("name"), _name(kind, text, d, attempt)).otherwise(same_layout(text, d))
         )
 
     return let(_digest(key, kind, canonical(kind, text), attempt), drawn)
@@ -260,13 +306,13 @@ def with_surrogates(docs: DataFrame, key: str = "corpuscle") -> DataFrame:
     columns = docs.columns
     entities = F.when(F.col("text").rlike(SIGN), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     mentions = docs.select(F.explode(entities).alias("entity")).distinct().select("entity", parsed(F.col("entity")).alias("u"))
-    spelled = written(mentions.select("entity", F.col("u.kind").alias("kind"), F.explode("u.parts").alias("text")).withColumn("unit", _unit_key(F.col("kind"), F.col("text"))), "entities")
+    spelled = written(mentions.select("entity", F.col("u.kind").alias("kind"), F.explode("u.parts").alias("text")).where(~is_particle(F.col("kind"), F.col("text"))).withColumn("unit", _unit_key(F.col("kind"), F.col("text"))), "entities")
     found = spelled.groupBy("unit").agg(F.min("kind").alias("kind"), F.min("text").alias("text"))
     fixes = redrawn(key, found)
     n = fixes.count()
 
     def render(u: Column, attempt: object) -> Column:
-        return F.concat(u["title"], F.array_join(F.transform(u["parts"], lambda x: surrogate(key, u["kind"], x, attempt(u["kind"], x))), " "))
+        return F.concat(u["title"], F.array_join(F.transform(u["parts"], lambda x: F.when(is_particle(u["kind"], x), x).otherwise(surrogate(key, u["kind"], x, attempt(u["kind"], x)))), " "))
 
     # The text between entities, then an entity, and so on; the last stretch has no entity.
     scanned = docs.withColumn("__e", entities).withColumn("__u", F.transform("__e", parsed)).withColumn("__t", F.when(F.size("__e") > 0, F.split("text", ANY)))

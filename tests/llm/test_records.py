@@ -137,6 +137,23 @@ def test_each_entity_alone(spark, kind, entities):
     assert all(found[i][0] != e and found[i][1] == [kind] for i, e in enumerate(entities))
 
 
+def test_whole_names_national_numbers_and_ipv6(spark):
+    texts = [
+        "Dr Martin Luther King spoke", "Señor Gabriel García Márquez, autor", "Herr Ludwig van Beethoven kam", "Prof. Dr. Anna Maria Schmidt. Then", "Mr J. Smith",
+        "ring (017) 555-7713 or 030 1234567.", "06 12 34 56 78", "host 2001:db8::ff00:42:8329 is 2001:0DB8:0:0:0:ff00:0042:8329", "std::vector a::b 12:34:56", "::ffff:192.0.2.1 up",
+    ]
+    found = surrogates(spark, texts)
+    assert re.fullmatch(r"Dr \w+ \w+ \w+ spoke", found[0][0]) and not re.search("Martin|Luther|King", found[0][0])
+    assert not re.search("Gabriel|García|Márquez", found[1][0]) and found[1][0].endswith(", autor")
+    assert re.fullmatch(r"Herr \w+ van \w+ kam", found[2][0]) and "Beethoven" not in found[2][0]
+    assert not re.search("Anna|Maria|Schmidt", found[3][0]) and found[3][0].endswith(". Then") and "Smith" not in found[4][0]
+    assert re.fullmatch(r"ring \(0\d\d\) \d{3}-\d{4} or 0\d\d \d{7}\.", found[5][0]) and "555-7713" not in found[5][0] and "1234567" not in found[5][0]
+    assert found[5][1] == ["phone"] * 2 and found[6][1] == ["phone"] and found[6][0] != texts[6]
+    one, two = re.fullmatch(r"host (\S+) is (\S+)", found[7][0]).groups()
+    assert one == two and "8329" not in one and found[7][1] == ["ip"] * 2
+    assert found[8] == (texts[8], []) and "192.0" not in found[9][0] and found[9][1] == ["ip"]
+
+
 def test_no_texts(spark):
     assert surrogates(spark, []) == {} and surrogates(spark, [None]) == {0: (None, [])}
 
