@@ -214,15 +214,15 @@ def promoted_types(fields: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
     return out.select(F.col("src").alias("owner_type"), F.col("dst").alias("type"), "level")
 
 
-def field_chain(receivers: DataFrame, fields: DataFrame, most: int = 4) -> DataFrame:
+def field_chain(receivers: DataFrame, fields: DataFrame) -> DataFrame:
     """(id, receiver_type) after walking ``receiver_members`` one at a time; a step needs exactly one field."""
     only = fields.groupBy(F.col("owner_type").alias("__o"), F.col("name").alias("__n")).agg(F.min("type").alias("__t"), F.countDistinct("type", "path").alias("__c")).where("__c = 1").drop("__c")
     now = receivers.select("id", "receiver_type", "receiver_members")
-    for i in range(most):
+    for i in range(receivers.agg(F.max(F.size("receiver_members"))).first()[0] or 0):
         member = F.get("receiver_members", i)
         stepped = now.withColumn("__m", member).join(only, (F.col("receiver_type") == F.col("__o")) & (F.col("__m") == F.col("__n")), "left")
         now = stepped.select("id", F.when(F.col("__m").isNull(), F.col("receiver_type")).otherwise(F.col("__t")).alias("receiver_type"), "receiver_members")
-    return now.select("id", F.when(F.size("receiver_members") <= most, F.col("receiver_type")).alias("receiver_type"))
+    return now.select("id", F.when(F.col("receiver_members").isNotNull(), F.col("receiver_type")).alias("receiver_type"))
 
 
 def related_calls(hits: DataFrame, calls: DataFrame, declarations: DataFrame, most: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,6 @@ SCHEMA = "path string, node_id int, parent_id int, pre int, post int, depth int,
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _KINDS = [pa.string(), *[pa.int32()] * 5, pa.string(), pa.string(), *[pa.int32()] * 4, pa.string()]
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-LONGEST_TEXT = 200
 
 
 class Builder:
@@ -60,7 +59,7 @@ def markup_nodes(content: str) -> list[list]:
             line, byte = self.place()
             out.start(tag, "", line, byte)
             for name, value in attrs:
-                out.start("attribute", name, line, byte, (value or "")[:LONGEST_TEXT])
+                out.start("attribute", name, line, byte, value or "")
                 out.end(line, byte)
             if tag in VOID:
                 out.end(line, byte)
@@ -76,7 +75,7 @@ def markup_nodes(content: str) -> list[list]:
         def handle_data(self, data: str) -> None:
             if data.strip():
                 line, byte = self.place()
-                out.start("text", "", line, byte, data.strip()[:LONGEST_TEXT])
+                out.start("text", "", line, byte, data.strip())
                 out.end(line + data.count("\n"), byte + len(data.encode()))
 
     parser = Parser(convert_charrefs=True)
@@ -97,7 +96,7 @@ def python_nodes(content: str) -> list[list]:
         byte = at[line - 1] + node.col_offset if hasattr(node, "col_offset") else byte
         last = at[end - 1] + node.end_col_offset if getattr(node, "end_col_offset", None) is not None else byte
         name = next((str(getattr(node, a)) for a in ("name", "id", "attr", "arg", "value") if isinstance(getattr(node, a, None), (str, int, float))), "")
-        out.start(type(node).__name__, field, line, byte, name[:LONGEST_TEXT])
+        out.start(type(node).__name__, field, line, byte, name)
         for name, value in ast.iter_fields(node):
             for child in value if isinstance(value, list) else [value]:
                 if isinstance(child, ast.AST) and not isinstance(child, (ast.Load, ast.Store, ast.Del)):
@@ -116,7 +115,7 @@ def json_nodes(content: str) -> list[list]:
 
     def visit(value: object, field: str) -> None:
         kind = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number"}.get(type(value), "null")
-        out.start(kind, field, 1, 0, "" if isinstance(value, (dict, list)) else str(value)[:LONGEST_TEXT])
+        out.start(kind, field, 1, 0, "" if isinstance(value, (dict, list)) else str(value))
         for name, child in value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ():
             visit(child, str(name))
         out.end(1, 0)
@@ -138,7 +137,7 @@ def markdown_nodes(content: str) -> list[list]:
             while levels and levels[-1] >= len(found[1]):
                 out.end(n - 1, byte - 1)
                 levels.pop()
-            out.start("section", f"h{len(found[1])}", n, byte, found[2].strip()[:LONGEST_TEXT])
+            out.start("section", f"h{len(found[1])}", n, byte, found[2].strip())
             levels.append(len(found[1]))
         byte += len(line.encode()) + 1
     while out.open:

@@ -131,6 +131,15 @@ def test_resolution_cascade(spark):
     assert found["8"] == (None, None, [])
 
 
+def test_long_texts_and_long_field_chains(spark):
+    from corpuscle.operators import structure
+
+    assert structure.json_nodes(f'["{"x" * 300}a"]') != structure.json_nodes(f'["{"x" * 300}b"]')
+    fields = spark.createDataFrame([(f"T{i}", "m", f"T{i + 1}", "f", True) for i in range(12)], "owner_type string, name string, type string, path string, embedded boolean")
+    calls = spark.createDataFrame([("1", "T0", ["m"] * 6), ("2", "T0", [])], "id string, receiver_type string, receiver_members array<string>")
+    assert {r["id"]: r["receiver_type"] for r in graph.field_chain(calls, fields).collect()} == {"1": "T6", "2": "T0"}
+
+
 def test_field_chains_and_promoted_types(spark):
     fields = spark.createDataFrame([("A", "b", "B", "p", False), ("B", "c", "C", "p", False), ("X", "Y", "Y", "p", True), ("Y", "Z", "Z", "p", True), ("Z", "X", "X", "p", True)], "owner_type string, name string, type string, path string, embedded boolean")
     calls = spark.createDataFrame([("1", "A", ["b", "c"]), ("2", "A", ["no"]), ("3", "A", [])], "id string, receiver_type string, receiver_members array<string>")
