@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,13 @@ _own_folder: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests, a temporary folder takes its place.
+    Only where the session names none and all runs in one process, as in tests, a temporary
+    folder takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         named = _own_folder.setdefault(app, "file://" + tempfile.mkdtemp(prefix="corpuscle-"))
     return named.rstrip("/")
@@ -43,22 +46,37 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files behind once its result is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: the lineage ends here."""
+    """``df`` written as Parquet in the shared folder and read again: the lineage and its shuffle files end here."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to any more.
-
-    Spark does so when the driver's garbage is collected, which may be long after a large
-    intermediate result has been written.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(df: DataFrame) -> None:
+    """Delete what ``written`` wrote for ``df``, which nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
@@ -66,6 +84,12 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case of its names."""
+    taken = {c.lower() for c in df.columns}
+    return next(name for name in (f"{wanted}_{i}" if i else wanted for i in range(len(taken) + 1)) if name.lower() not in taken)
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     for batch in batches:
         yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
@@ -120,13 +144,16 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: smaller neighbours of a node, and the node itself, go to the least of them.
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("x"), F.col("a").alias("y")), F.struct(F.col("m").alias("x"), F.col("b").alias("y")))).alias("e")).where("e.x <> e.y")
-        edges = written(small.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).distinct(), "edges")
+        before, edges = edges, written(small.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).distinct(), "edges")
+        discard(before)
         # Done when every node hangs on one root and no root hangs on another node.
         tops, lows = edges.select(F.col("a").alias("n")).distinct(), edges.select(F.col("b").alias("n"))
         many = edges.groupBy("b").count().where("count > 1").limit(1).count()
         if not many and not lows.join(tops, "n", "left_semi").limit(1).count():
             break
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    out = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    out.scratch_path = edges.scratch_path
+    return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

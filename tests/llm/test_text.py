@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -74,7 +76,6 @@ def test_every_link_shares_an_entry(num, den):
     rng = np.random.default_rng(3)
     t = ngram_join.Threshold(num, den)
     for sets in (1, 10_000, 10**7, 10**12):
-        kinds = set()
         for _ in range(40):
             a = np.unique(rng.integers(0, 1 << 62, int(rng.choice([1, 2, 5, 9, 14, 20, 40, 90, 300])), dtype=np.uint64))
             size = len(a)
@@ -89,21 +90,25 @@ def test_every_link_shares_an_entry(num, den):
                     continue
                 shared = set(t.schemes(len(a))) & set(t.schemes(len(b)))
                 assert shared
-                ok = False
-                for k in shared:
-                    allocation = t.allocation(k, sets)
-                    kinds.add(allocation[1] > 0)
-                    ok |= bool(set(ngram_join.entries(a, k, allocation).tolist()) & set(ngram_join.entries(b, k, allocation).tolist()))
-                assert ok
-                words = t.sketch_words(min(shared))
+                ok = {}
+                for k in {max(t.band(len(a)), t.band(len(b)))}:
+                    most = t.weight(int(t.lows[k + 1]) - 1)
+                    for allocation in {t.allocation(k, sets), (0, (most + 1) // 2), (max(0, most - 2), 1), (2 * max(0, most - 4), 2)}:
+                        ok[allocation] = ok.get(allocation, False) or bool(set(ngram_join.entries(a, k, allocation, t.weight(len(a))).tolist()) & set(ngram_join.entries(b, k, allocation, t.weight(len(b))).tolist()))
+                # Whichever of the schemes they share, every allocation of enough weight must make them meet in one.
+                assert all(ok.values())
+                words = min(t.sketch_words(len(a)), t.sketch_words(len(b)))
                 assert ngram_join._may_link(t, ngram_join.sketch(a, words), ngram_join.sketch(b, words), np.int64(len(a)), np.int64(len(b)))
-        if sets >= 10**12 and num >= 80:
-            assert True in kinds  # deletion neighbourhoods are in use
+
+
+def test_sketches_fold():
+    g = np.unique(np.random.default_rng(2).integers(0, 1 << 62, 999, dtype=np.uint64))
+    assert (ngram_join.sketch(g, 8)[:4] ^ ngram_join.sketch(g, 8)[4:] == ngram_join.sketch(g, 4)).all()
 
 
 def test_clusters_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_CHARACTERS", 600)
-    monkeypatch.setattr(ngram_join, "LARGE_BUCKET", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 100)
+    monkeypatch.setattr(ngram_join, "COMPARED", 3)
     monkeypatch.setattr(ngram_join, "SMALL_BUCKET", 2)
     rows = list(enumerate(near_copies(seed=5, bases=3, copies=30, lengths=(60,))))
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(documents(spark, [(i, t, "s") for i, t in rows]), 3, 90, 100).collect()}
@@ -115,6 +120,57 @@ def test_one_of_each(spark):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 3, 4] and kept.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_one_of_each_with_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", 7, "x"), (2, "a b c d e f", 8, "y")], "DOC_ID long, Text string, drop int, Sig string")
+    assert [tuple(r) for r in ngram_join.one_of_each(rows).collect()] == [(1, "a b c d e f", 7, "x")]
+
+
+def test_documents_of_several_texts_link_all_of_them(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    found = ngram_join.ngram_components(documents(spark, [(1, a, "s"), (2, b, "s"), (3, a, "s"), (3, b, "s")])).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_decoding_is_the_least_of_all_readings():
+    rnd = random.Random(8)
+    text = "you are an idiot and a stupid fool so shut up now please dumb as a rock said bella to anna"
+    model = toxicity.LanguageModel(dict(Counter(f"  {w} "[i : i + 3] for w in text.split() for i in range(len(w) + 1))))
+
+    def cost(reading):
+        padded = "  " + "".join(s for s, _ in reading) + " "
+        return sum(k for _, k in reading) + sum(model.cost(padded[i - 2 : i], padded[i]) for i in range(2, len(padded)))
+
+    for _ in range(300):
+        word = "".join(rnd.choice(["a", "b", "o", "l", "1", "0", "$", ".", "oo", "ll", "!!!", "st"]) for _ in range(rnd.randrange(1, 8)))
+        for doubled in (False, True):
+            ways = list(toxicity.lattice(word, doubled))
+            if math.prod(map(len, ways)) > 3000:
+                continue
+            found = toxicity.decode(word, model, doubled)
+            best = min(map(cost, itertools.product(*ways)))
+            assert min(cost(r) for r in itertools.product(*ways) if "".join(s for s, _ in r) == found) == pytest.approx(best)
+
+
+def test_features_of_known_words_are_those_of_all_words():
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abco1$.!") for _ in range(rnd.randrange(1, 50 if i % 9 == 0 else 9))) for i in range(600)]
+    model = toxicity.LanguageModel(dict(Counter(f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1))))
+    every = toxicity.Extractor(toxicity.Restorer(model))
+    known = {f: i for i, f in enumerate(sorted({f for w in words for f in every[w]})[::3])}
+    some = toxicity.Extractor(toxicity.Restorer(model), known)
+    assert all(sorted(some[w]) == sorted(known[f] for f in every[w] if f in known) for w in words)
+
+
+def test_trigrams_by_words():
+    words, times = ["ab", "b", "übel", "a"], np.asarray([3, 1, 2, 5])
+    found = dict(zip(*[list(x) for x in toxicity._trigrams(words, times)]))
+    wanted = Counter()
+    for w, n in zip(words, times.tolist()):
+        for i in range(len(w) + 1):
+            wanted[f"  {w} "[i : i + 3]] += n
+    assert found == wanted
+
+
 def test_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 2000), (2000, 1500), (7, 7)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
