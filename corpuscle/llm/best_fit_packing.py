@@ -80,11 +80,10 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, size: int, end_id: int) -> D
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer_path)
-        end = np.asarray([end_id], words.kind).tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, payload in zip(batch.column(0).to_pylist(), words.in_steps(batch.column(1).to_pylist())):
-                ids = np.frombuffer(payload + end, words.kind).astype("<u4")
+            for doc, found in zip(batch.column(0).to_pylist(), words.in_steps(batch.column(1))):
+                ids = np.append(found.astype("<u4"), np.uint32(end_id))
                 for k, start in enumerate(range(0, len(ids), size)):
                     part = ids[start : start + size]
                     rows.append((doc, k, start, len(part), zlib.crc32(part)))

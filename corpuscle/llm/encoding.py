@@ -3,25 +3,32 @@
 Both kinds of pre-tokenizer that are supported end a word at a lone space between two other
 characters: ByteLevel gives the space to the next word, a Split that drops white space drops
 it.  So a text without other white space beside a space, and without a special string, has
-the ids of its words one after the other; ids of words are kept (the number is bounded).
-Any other text is encoded whole by the library.
+the ids of its words one after the other.  Arrow splits such texts and numbers their distinct
+words; ids of words are kept (the number is bounded) and gathered by numpy.  Words that
+aren't kept are encoded together, a special string between them, which the library takes out
+before it looks at what stands on either side.  Any other text is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 KEPT_WORDS = 1_000_000
-_UNEVEN = re.compile(r"\s \s?|^ | (?:\s|$)").search
+STEP_BYTES = 4 << 20
+LEARNT_TOGETHER = 1000
+#: White space as the library's patterns know it: fixed ranges.
+_SPACE = r"[\t-\r\x1c-\x1f \x{85}\p{Z}]"
+_UNEVEN = rf"{_SPACE} | {_SPACE}|^ | $"
 
 
-class WordEncoder(dict):
-    """Ids of words as bytes of little-endian unsigned integers of ``width`` bytes."""
+class WordEncoder:
+    """Ids of texts as arrays of little-endian unsigned integers of ``width`` bytes."""
 
     def __init__(self, path: str) -> None:
         import json
@@ -34,39 +41,95 @@ class WordEncoder(dict):
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.byte_level = spec["pre_tokenizer"]["type"] == "ByteLevel"
         self.lead = " " if self.byte_level else ""  # a word's own space
+        between = next((t for t in spec["added_tokens"] if t.get("special") and not any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))), None)
+        self.between = between and (between["content"], between["id"])
         self.by_words = not (self.byte_level and spec["pre_tokenizer"]["add_prefix_space"])
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-
-    def ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        """Keep the ids of words that aren't kept yet."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > KEPT_WORDS:
-            self.clear()
-            new = list(words)
-        for w, found in zip(new, self.tokenizer.encode_batch_fast([self.lead + w for w in new], add_special_tokens=False)):
-            self[w] = np.asarray(found.ids, dtype=self.kind).tobytes()
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        split = [t.split(" ") if self.by_words and t and not _UNEVEN(t) and not any(s in t for s in self.special) else None for t in texts]
-        self.learn({w for words in split if words for w in words[1:]})
-        return [b"".join([self.ids(words[0]), *map(self.__getitem__, words[1:])]) if words else self.ids(t) for t, words in zip(texts, split)]
-
-    def in_steps(self, texts: list[str], most: int = 4 << 20) -> Iterator[bytes]:
-        """As ``encode_many``, a few million characters at a time."""
-        step: list[str] = []
-        size = 0
-        for t in texts:
-            step.append(t)
-            size += len(t)
-            if size >= most:
-                yield from self.encode_many(step)
-                step, size = [], 0
-        yield from self.encode_many(step)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.starts, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.store, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(found.ids, dtype=self.kind) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of each of the words."""
+        if not self.between:
+            return self._whole(words)
+        mark, number = self.between
+        out: list[np.ndarray] = []
+        for lo in range(0, len(words), LEARNT_TOGETHER):
+            ids = self._whole([mark.join(words[lo : lo + LEARNT_TOGETHER])])[0]
+            cuts = np.flatnonzero(ids == number).tolist()
+            out += [ids[a:b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])]
+        return out
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Where each of the distinct words' ids are kept."""
+        new = [w for w in words if w not in self.place]
+        if len(self.place) + len(new) > KEPT_WORDS:
+            self._forget()
+            new = words
+        if new:
+            found = self._together(new)
+            first, more = len(self.place), sum(map(len, found))
+            while first + len(new) > len(self.starts):
+                self.starts, self.counts = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.counts, np.zeros_like(self.counts)])
+            while self.used + more > len(self.store):
+                self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+            sizes = np.asarray([len(f) for f in found], np.int64)
+            self.counts[first : first + len(new)] = sizes
+            self.starts[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
+            self.store[self.used : self.used + more] = np.concatenate(found) if found else 0
+            self.used += more
+            self.place.update(zip(new, range(first, first + len(new))))
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def _by_words(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each of several even texts."""
+        split = pc.split_pattern(texts, " ")
+        words, ends = split.values, split.offsets.to_numpy().astype(np.int64)  # a first word's own space is missing
+        firsts = self._together(words.take(pa.array(ends[:-1])).to_pylist()) if self.byte_level else None
+        numbered = words.dictionary_encode()
+        which = self._places([self.lead + w for w in numbered.dictionary.to_pylist()])[numbered.indices.to_numpy()]
+        counts, starts = self.counts[which], self.starts[which]
+        if firsts is not None:
+            counts[ends[:-1]] = 0
+        after = np.cumsum(counts)
+        ids = self.store[np.repeat(starts - (after - counts), counts) + np.arange(int(after[-1]) if len(after) else 0)]
+        cuts = np.concatenate([[0], after])[ends].tolist()
+        body = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        return body if firsts is None else [np.concatenate(pair) for pair in zip(firsts, body)]
+
+    def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.equal(pc.binary_length(texts), 0)
+        if self.by_words:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, _UNEVEN))
+            for s in self.special:
+                odd = pc.or_(odd, pc.match_substring(texts, s))
+        else:
+            odd = pa.array([True] * len(texts))
+        whole = self._whole(texts.filter(odd).to_pylist())
+        if len(whole) == len(texts):
+            return whole
+        even, whole_ = iter(self._by_words(texts.filter(pc.invert(odd)))), iter(whole)
+        return [next(whole_ if o else even) for o in odd.to_pylist()]
+
+    def in_steps(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """As ``encode_many``, a few million bytes at a time."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            done = int(sizes[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, done + STEP_BYTES, side="right")))
+            yield from self.encode_many(texts.slice(at, end - at))
+            at = end
 
 
 @lru_cache(maxsize=4)

@@ -122,10 +122,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             return pa.record_batch({"value": pa.array([shard], pa.binary())})
 
         for batch in batches:
-            for i, payload in zip(batch.column(0).to_pylist(), words.in_steps(batch.column(1).to_pylist())):
+            for i, found in zip(batch.column(0).to_pylist(), words.in_steps(batch.column(1))):
                 ids.append(NULL_ID if i is None else i)
-                payloads.append(payload + end)
-                held += len(payload)
+                payloads.append(found.tobytes() + end)
+                held += len(payloads[-1])
                 if held >= SHARD_BYTES:
                     yield out()
         if ids:

@@ -6,10 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from corpuscle.llm import best_fit_packing, token_binary
+from corpuscle.llm import best_fit_packing, encoding, token_binary
 from corpuscle.llm.encoding import WordEncoder
 from corpuscle.llm.perfect_hash import PerfectHash
 from corpuscle.llm.token_counts import counter, merge_count, token_counts
@@ -51,10 +52,21 @@ def test_merges_go_by_rank_then_place():
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
-def test_words_encode_as_texts(path):
+def test_words_encode_as_texts(path, monkeypatch):
+    monkeypatch.setattr(encoding, "STEP_BYTES", 500)
+    monkeypatch.setattr(encoding, "LEARNT_TOGETHER", 7)
     e = WordEncoder(path)
-    texts = TEXTS + rnd_texts(2, 2000)
-    assert list(e.in_steps(texts, most=500)) == [e.ids(t) for t in texts]
+    texts = [*TEXTS, "<|endoftext| <|startoftext <", "a <| b|> c", *rnd_texts(2, 20_000)]
+    wanted = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [found.tolist() for found in e.in_steps(pa.array([*texts, None]))] == [*wanted, []]
+
+
+def test_kept_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(encoding, "KEPT_WORDS", 50)
+    e = WordEncoder(BYTE)
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(20)]
+    found = [e.encode_many(pa.array([t]))[0].tolist() for t in texts]
+    assert found == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts] and len(e.place) <= 50
 
 
 def test_shards(spark, monkeypatch):
@@ -67,7 +79,7 @@ def test_shards(spark, monkeypatch):
     e = WordEncoder(BYTE)
     wanted = {}
     for i, t in rows:
-        ids = np.append(np.frombuffer(e.ids(t or ""), e.kind), 0).astype("<u4")
+        ids = np.append(e.tokenizer.encode(t or "", add_special_tokens=False).ids, 0).astype("<u4")
         wanted.setdefault(i, []).append((len(ids), zlib.crc32(ids)))
     at, last = 0, None
     for r in found:
@@ -137,7 +149,7 @@ def test_packing(spark, monkeypatch, pieces):
     found = best_fit_packing.best_fit_packing(documents(spark, texts), WORD, size).toPandas()
     total = 0
     for i, t in enumerate(texts):
-        ids = np.append(np.frombuffer(e.ids(t or ""), e.kind), 1).astype("<u4")
+        ids = np.append(e.tokenizer.encode(t or "", add_special_tokens=False).ids, 1).astype("<u4")
         mine = found[found.doc_id == i].sort_values("piece")
         assert mine.length.tolist() == [min(size, len(ids) - s) for s in range(0, len(ids), size)] and mine.start.tolist() == list(range(0, len(ids), size))
         assert mine.ids_crc32.tolist() == [zlib.crc32(ids[s : s + size]) for s in range(0, len(ids), size)]
