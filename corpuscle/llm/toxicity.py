@@ -33,7 +33,6 @@ FEATURES = 4000
 LEAST_TOXIC = 3  # toxic documents with a feature, for it to be considered
 FOLDS = 5
 KEPT_WORDS = 400_000
-ALPHABET_PAIRS = 200_000  # of a partition's trigrams held before they are sent on
 
 #: What a character is used for, beside itself: fixed values.
 STANDS_FOR = {
@@ -43,6 +42,8 @@ STANDS_FOR = {
 SEPARATORS = ".-_*~'`^"
 COST_STAND, COST_SINGLE, COST_DROP, COST_SPACE = 0.4, 0.1, 0.3, 1.5
 KEPT_COSTS = 500_000
+LEAST_BEGINNING, LONGEST_WORD = 3, 40  # characters of features: a longer word is known by its beginnings
+KEPT_STRETCHES = 200_000
 
 _LETTERS = re.compile(r"[^\W\d_]")
 _SIGNS = re.escape("".join(STANDS_FOR) + SEPARATORS)
@@ -53,6 +54,8 @@ _SPACED = re.compile(r"(?<!\S)(?:\S[ \t.\-_*]){2,}\S(?!\S)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _HEX = re.compile(r"[0-9a-f]{16,}|[^@\s]+@[^@\s]+\.[^@\s]+|\d")
 _REPEATED = re.compile(r"(.)\1*")
+_OFTEN = re.compile(r"(.)\1\1").search
+_UNSURE = re.compile(rf"(.)\1+|[{_SIGNS} \t]")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -70,6 +73,7 @@ class LanguageModel:
         self.pairs = dict(pairs)
         self.letters = max(2, len({t[2] for t in trigrams}))
         self.kept: dict[str, float] = {}
+        self.stretches: dict[tuple[str, str, str, bool], str] = {}
 
     def cost(self, before: str, c: str) -> float:
         """-log P(c | the two characters before)."""
@@ -81,38 +85,43 @@ class LanguageModel:
         return known
 
 
-def lattice(word: str, doubled: bool = False) -> list[list[tuple[str, float]]]:
+def lattice(word: str, doubled: bool = False) -> Iterator[list[tuple[str, float]]]:
     """For each stretch of the word, what it may stand for, with costs; ``doubled`` keeps two of a kind two."""
-    out = []
     for run in _REPEATED.finditer(word):
         c, n = run.group(1), len(run.group(0))
         forms = [(c, 0.0)] + [(s, COST_STAND) for s in STANDS_FOR.get(c, "")]
         if c in SEPARATORS or c in " \t":
-            out.append([("", COST_DROP), (" ", COST_SPACE)])
+            yield [("", COST_DROP), (" ", COST_SPACE)]
         elif n == 1:
-            out.append(forms)
+            yield forms
         elif doubled and n == 2:
-            out.append([(s * 2, k) for s, k in forms])
+            yield [(s * 2, k) for s, k in forms]
         else:
-            out.append([(s, k + (0.0 if n > 2 else COST_SINGLE)) for s, k in forms] + [(s * 2, k) for s, k in forms])
-    return out
+            yield [(s, k + (0.0 if n > 2 else COST_SINGLE)) for s, k in forms] + [(s * 2, k) for s, k in forms]
 
 
-def decode(word: str, model: LanguageModel, doubled: bool = False) -> str:
-    """The reading of least cost: Viterbi over the lattice, linear in length; a state is the last two characters and the way there."""
-    states: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
-    for options in lattice(word, doubled):
-        after: dict[str, tuple[float, tuple | None]] = {}
+def viterbi(before: str, stretch: str, after: str, model: LanguageModel, doubled: bool = False) -> str:
+    """The reading of least cost of a stretch between ``before`` (two characters) and ``after``; a state is the last two characters and the way there."""
+    states: dict[str, tuple[float, tuple | None]] = {before: (0.0, None)}
+    for options in lattice(stretch, doubled):
+        reached: dict[str, tuple[float, tuple | None]] = {}
         for last, (cost, way) in states.items():
             for s, k in options:
                 total, pair = cost + k, last
                 for c in s:
                     total += model.cost(pair, c)
                     pair = pair[1] + c
-                if pair not in after or total < after[pair][0]:
-                    after[pair] = (total, (way, s))
-        states = after
-    way = min(((cost + model.cost(pair, " "), pair, way) for pair, (cost, way) in states.items()), key=lambda x: x[:2])[2]
+                if pair not in reached or total < reached[pair][0]:
+                    reached[pair] = (total, (way, s))
+        states = reached
+    ends = []
+    for pair, (cost, way) in states.items():
+        last = pair
+        for c in after:
+            cost += model.cost(last, c)
+            last = last[1] + c
+        ends.append((cost, pair, way))
+    way = min(ends, key=lambda x: x[:2])[2]
     out = []
     while way:
         way, s = way
@@ -120,6 +129,34 @@ def decode(word: str, model: LanguageModel, doubled: bool = False) -> str:
     return "".join(reversed(out))
 
 
+def decode(word: str, model: LanguageModel, doubled: bool = False) -> str:
+    """The reading of least cost of a whole word.
+
+    Two characters in a row that stand for themselves alone bring all states together, so the
+    stretches between such pairs are decoded one by one, each with its neighbours; short ones
+    are kept.
+    """
+    spans: list[list[int]] = []
+    for m in _UNSURE.finditer(word):
+        if spans and m.start() - spans[-1][1] < 2:
+            spans[-1][1] = m.end()
+        else:
+            spans.append([m.start(), m.end()])
+    out, at = [], 0
+    for start, end in spans:
+        key = (f"  {word[max(0, start - 2) : start]}"[-2:], word[start:end], f"{word[end : end + 2]} "[:2], doubled)
+        found = model.stretches.get(key)
+        if found is None:
+            found = viterbi(*key[:3], model, doubled)
+            if len(model.stretches) >= KEPT_STRETCHES:
+                model.stretches.clear()
+            if end - start <= 64:
+                model.stretches[key] = found
+        out += (word[at:start], found)
+        at = end
+    return "".join((*out, word[at:]))
+
+
 def bare(word: str) -> str:
     return _EDGE.sub("", word)
 
@@ -142,7 +179,7 @@ class Restorer:
             if not is_disguised(form):
                 out += [[form]] if form and form == word else []
                 continue
-            plain = form.isalpha() and not any(len(m[0]) > 2 for m in _REPEATED.finditer(form))
+            plain = form.isalpha() and not _OFTEN(form)
             out += [[form]] if plain else []  # doubled letters are mostly meant
             out.append(decode(form, self.model).split())
             if not plain and any(len(m[0]) == 2 for m in _REPEATED.finditer(form)):
@@ -161,7 +198,9 @@ class Restorer:
 
 
 def features(word: str) -> list[str]:
-    return ["=" + word, *("^" + word[:k] for k in (3, 4, 5, 6, 7) if len(word) > k)] if len(word) <= 40 else ["^" + word[:k] for k in (3, 4, 5, 6, 7)]
+    """The word, unless it is very long, and its beginnings."""
+    beginnings = ["^" + word[:k] for k in range(LEAST_BEGINNING, min(8, len(word)))]
+    return ["=" + word, *beginnings] if len(word) <= LONGEST_WORD else beginnings
 
 
 class Extractor(dict):
@@ -169,18 +208,34 @@ class Extractor(dict):
 
     def __init__(self, restorer: Restorer, known: dict[str, int] | None = None) -> None:
         self.restorer, self.known = restorer, known
+        self.begin = {f[:LEAST_BEGINNING + 1] for f in known or () if f[0] == "^"}
 
     def of(self, words: list[str]) -> tuple:
-        found = [f for w in words for f in features(w)]
-        return tuple(found) if self.known is None else tuple(self.known[f] for f in found if f in self.known)
+        if self.known is None:
+            return tuple(f for w in words for f in features(w))
+        found = []
+        for w in words:
+            if f"^{w[:LEAST_BEGINNING]}" in self.begin:  # else no longer beginning is known either
+                found += [self.known[f] for f in features(w) if f in self.known]
+            elif (whole := self.known.get("=" + w)) is not None and len(w) <= LONGEST_WORD:
+                found.append(whole)
+        return tuple(found)
+
+    def _found(self, raw: str) -> tuple:
+        if raw.isalpha() and not _DISGUISED.search(raw):
+            return self.of([raw])
+        several = [self.of(reading) for reading in self.restorer.readings(raw)]
+        if len(several) < 2:
+            return several[0] if several else ()
+        found: Counter = Counter()
+        for one in several:
+            found |= Counter(one)  # what readings share counts once
+        return tuple(found.elements())
 
     def __missing__(self, raw: str) -> tuple:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        found: Counter = Counter()
-        for reading in self.restorer.readings(raw):
-            found |= Counter(self.of(reading))  # what readings share counts once
-        found = tuple(found.elements())
+        found = self._found(raw)
         if len(raw) <= 64:
             self[raw] = found
         return found
@@ -198,27 +253,42 @@ class Extractor(dict):
         return found, len(words)
 
 
+def _trigrams(words: list[str], times: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The trigrams of the words between spaces, and how often they come where each word comes so many times."""
+    if not words:
+        return [], np.zeros(0, np.int64)
+    code = np.frombuffer("".join(f"  {w} " for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    last = np.cumsum([len(w) + 3 for w in words])
+    starts = np.ones(len(code), bool)
+    starts[last - 1] = starts[last - 2] = False
+    at = np.flatnonzero(starts)
+    key = code[at] << 42 | code[at + 1] << 21 | code[at + 2]
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    sums = np.add.reduceat(np.repeat(times, [len(w) + 1 for w in words])[order], first)
+    return ["".join(chr(int(k) >> s & 0x1FFFFF) for s in (42, 21, 0)) for k in key[order][first]], sums
+
+
 def trigram_counts(rows: DataFrame) -> DataFrame:
     """trigram, n: over the lower-case words of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+
         def out() -> pa.RecordBatch:
-            return pa.record_batch({"trigram": pa.array(list(trigrams), pa.string()), "n": pa.array(list(trigrams.values()), pa.int64())})
+            plain = {word: 0 for raw in words if (word := bare(raw)).isalpha()}
+            for raw, n in words.items():
+                if (word := bare(raw)) in plain:
+                    plain[word] += n
+            words.clear()
+            found, n = _trigrams(list(plain), np.asarray(list(plain.values()), np.int64))
+            return pa.record_batch({"trigram": pa.array(found, pa.string()), "n": pa.array(n, pa.int64())})
 
-        trigrams: dict[str, int] = defaultdict(int)
         for batch in batches:
-            words: Counter = Counter()
             for text in batch.column(1).to_pylist():
                 words.update(text.lower().split())
-            for raw, n in words.items():
-                word = bare(raw)
-                if word.isalpha() and len(word) <= 40:
-                    padded = f"  {word} "
-                    for i in range(len(padded) - 2):
-                        trigrams[padded[i : i + 3]] += n
-            if len(trigrams) > ALPHABET_PAIRS:
-                yield out()
-                trigrams.clear()
+                if len(words) > KEPT_WORDS:
+                    yield out()
         yield out()
 
     return rows.mapInArrow(count, "trigram string, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
