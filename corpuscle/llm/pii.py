@@ -1,19 +1,27 @@
 """Surrogates for personal data, in DataFrame functions only.
 
-Detected entities (mail addresses, phone and card numbers, network addresses, keys, account
-and social numbers, names after a form of address) are replaced by surrogates drawn from a
-keyed hash of the entity.  The same entity gets the same surrogate everywhere (coreference),
-with its type, layout, letter case and script; card numbers that satisfy the Luhn check
-still do; names keep the gender that the form of address tells.
-
-Distinct entities keep distinct surrogates: all entities of the corpus are gathered, and
-those whose surrogate another entity also has, or that is itself an entity of the corpus,
-are drawn again until none is left.  Only these redrawn ones are joined back.  After
-``CALM`` draws each further one is from a wider space (longer names, local parts and
-numbers, other networks), so that small spaces that are full don't matter.
-
-Null texts stay null, texts without entities stay as they are, repeated rows are treated
-alike, other columns are kept.
+Detected entities (mail addresses, telephone and card numbers, network addresses, keys, account
+and social numbers, names after a form of address and the same names where they come again in
+the text) are replaced in one scan.  A surrogate is a keyed permutation of the entity's own
+space: a Feistel network whose rounds shift every second place (a digit, a letter, an octet,
+a group) by an amount that depends on the key and on the places between, each within its own
+alphabet.  So the layout, letter case and script stay; equal entities get equal surrogates in
+every spelling (coreference), and two different ones can't get the same, without a look at the
+rest of the corpus.  ``collisions`` checks that over a corpus.  A surrogate may be another
+entity that is real (that one is replaced as well), and in a space of n an entity is its own
+surrogate with a chance of 1/n.
+
+What has a meaning stays: the last label of a domain, the country of telephone and account
+numbers, the networks of private addresses, known beginnings of keys, a card number's first
+digit, form of address and particles.  Card and account numbers with right check digits get
+right ones.  Names keep vowels and consonants apart, and a vowel at the end, which tells the
+gender in many languages; the name doesn't depend on the form of address.  Letters that are in
+no alphabet below stay as they are.
+
+Null texts stay null, empty ones and those without entities stay as they are, very long ones
+are scanned whole, repeated rows are treated alike, an empty table gives no rows; all columns
+are kept, whatever their names, and the kinds come in ``pii_kinds`` (or ``pii_kinds_1`` and so
+on, where the table has that already).
 """
 
 from __future__ import annotations
@@ -21,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.support import written
+from corpuscle.llm.support import free_name
 
 #: Forms of address before a name: fixed values.
 MALE = "Mr|Sir|Herr|Monsieur|Señor|Sr|Don|господин|г-н"
@@ -38,10 +46,10 @@ TITLED = rf"(?<![\p{{L}}\p{{N}}]){TITLE}{NEXT}(?:[ \t]{NEXT})*"
 IPV4 = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 HEX = "[0-9a-fA-F]{1,4}"
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "secret": r"(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho)[-_][A-Za-z0-9]{16,64}|[0-9a-f]{32,64}|[0-9A-F]{32,64})(?!\w)",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?!\w)",
+    "secret": r"(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho)[-_][A-Za-z0-9]{16,}|[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?!\w)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,3}(?!\w)",
     "social": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w-])(?:\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{4}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5})(?![\w-])",
@@ -72,16 +80,13 @@ SIGNS = {
 }
 SIGN = "|".join(SIGNS[kind] for kind in PATTERNS)
 
-#: Syllables of invented names, by script: fixed values.
-SYLLABLES = {
-    "latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve vo za ze",
-    "greek": "βα βε δα δε δο γα γο κα κε κο λα λε λο μα με μο να νε νο πα πε ρα ρε ρο σα σε σο τα τε το φα φε ζα ζε",
-    "cyrillic": "ба бе бо ва ве во га го да де до за зе ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са се со та те то",
-}
-ENDINGS = {"latin": ("n", "ra", "l"), "greek": ("ς", "ρα", "λ"), "cyrillic": ("н", "ра", "л")}
-CALM = 8  # draws in an entity's own layout, before spaces widen
-ROUNDS = 400  # enough where even a layout that can't widen (social and card numbers, public addresses) is nine tenths full
-KEPT_IN_A_MAP = 100_000
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Letters of names that stand for each other: fixed values.
+NAME_VOWELS = ("aeiou", "àáâãäåæèéêëìíîïòóôõöøœùúûüýÿ", "аеиоуыэюя", "αεηιουω", "άέήίόύώ")
+NAME_LETTERS = (*NAME_VOWELS, "bcdfghjklmnpqrstvwxyz", "çćčđłñńřśšťźżž", "бвгджзйклмнпрстфхцчшщ", "βγδζθκλμνξπρστφχψ")
+FEISTEL_ROUNDS = 4
+#: First octets of public addresses that are exchanged among themselves.
+PUBLIC = [str(i) for i in range(1, 224) if i not in (10, 127, 172, 192)]
 
 
 def let(value: Column, body: object) -> Column:
@@ -89,38 +94,46 @@ def let(value: Column, body: object) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _digest(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """128 hexadecimal digits."""
-    return F.concat(*[F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(str(part)), kind, attempt.cast("string"), canon), 256) for part in (0, 1)])
+def permuted(key: str, kind: str, values: Column, sizes: Column) -> Column:
+    """A bijection, fixed by key and kind, of arrays with 0 <= values[i] < sizes[i]."""
+
+    def round_(now: Column, r: Column) -> Column:
+        rest = F.transform(now, lambda x, i: F.when(F.pmod(i + r, F.lit(2)) == 0, F.lit("")).otherwise(x.cast("string")))
+        digest = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(kind), r.cast("string"), F.array_join(rest, ",")), 256)
+        shift = lambda d, x, i: F.pmod(x + F.pmod(F.xxhash64(d, i), F.get(sizes, i)), F.get(sizes, i)).cast("int")
+        return let(digest, lambda d: F.transform(now, lambda x, i: F.when(F.pmod(i + r, F.lit(2)) == 0, shift(d, x, i)).otherwise(x)))
+
+    return F.aggregate(F.array(*[F.lit(r) for r in range(FEISTEL_ROUNDS)]), values, round_)
 
 
-def _number(digest: Column, place: Column, most: Column | int) -> Column:
-    """0 to ``most`` - 1 from six digits of the digest at a place (from 0, around again)."""
-    return F.conv(F.substring(digest, F.pmod(place * 5, F.lit(122)) + 1, F.lit(6)), 16, 10).cast("int") % most
+def characters(text: Column) -> Column:
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(1))))
 
 
-def _chars(text: Column, change: object) -> Column:
-    return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: change(F.substring(text, i, F.lit(1)), i)), ""))
+def spelt(key: str, kind: str, text: Column, alphabet: object) -> Column:
+    """The text with each character exchanged within ``alphabet(character, place)``; null there lets it stay."""
 
+    def exchanged(chars: Column) -> Column:
+        letters = F.transform(chars, lambda c, i: F.coalesce(alphabet(c, i), c))
+        return let(letters, lambda a: let(
+            permuted(key, kind, F.transform(chars, lambda c, i: (F.position(c, F.get(a, i)) - 1).cast("int")), F.transform(a, lambda x: F.length(x))),
+            lambda fresh: F.array_join(F.transform(fresh, lambda v, i: F.substring(F.get(a, i), v + 1, F.lit(1))), ""),
+        ))
 
-def _pick(letters: str, digest: Column, i: Column) -> Column:
-    return F.substring(F.lit(letters), _number(digest, i, len(letters)) + 1, F.lit(1))
+    return let(characters(text), exchanged)
 
 
-def same_layout(text: Column, digest: Column, digits_only: bool = False) -> Column:
-    """Digits for digits, letters for letters of the same case; all else stays."""
+def plain_alphabet(c: Column, _: Column) -> Column:
+    return F.when(c.between("0", "9"), DIGITS).when(c.between("a", "z"), LOWER).when(c.between("A", "Z"), UPPER)
 
-    def change(c: Column, i: Column) -> Column:
-        out = F.when(c.rlike("[0-9]"), _pick("0123456789", digest, i))
-        if not digits_only:
-            out = out.when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", digest, i)).when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", digest, i))
-        return out.otherwise(c)
 
-    return _chars(text, change)
+def digits_alphabet(c: Column, _: Column) -> Column:
+    return F.when(c.between("0", "9"), DIGITS)
 
 
-def _hex(text: Column, digest: Column) -> Column:
-    return _chars(text, lambda c, i: F.when(text.rlike("[a-f]"), _pick("0123456789abcdef", digest, i)).otherwise(_pick("0123456789ABCDEF", digest, i)))
+def cased_as(fresh: Column, text: Column) -> Column:
+    """Lower-case ``fresh`` with upper case where ``text``, of the same length, has it."""
+    return F.array_join(F.transform(characters(text), lambda c, i: let(F.substring(fresh, i + 1, F.lit(1)), lambda x: F.when(c != F.lower(c), F.upper(x)).otherwise(x))), "")
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -135,44 +148,78 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
 
 
+def _check_digit(head: Column) -> Column:
+    return (10 - luhn_sum(F.concat(head, F.lit("0"))) % 10) % 10
+
+
 def poured(fresh: Column, layout: Column) -> Column:
     """The letters and digits of ``fresh`` in the places that the layout has for them."""
-    place = lambda i: F.length(F.regexp_replace(F.substring(layout, F.lit(1), i), "[^0-9A-Za-z]", ""))
-    return _chars(layout, lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(fresh, place(i), F.lit(1))).otherwise(c))
+    place = lambda i: F.length(F.regexp_replace(F.substring(layout, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
+    return F.array_join(F.transform(characters(layout), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(fresh, place(i), F.lit(1))).otherwise(c)), "")
 
 
 def _bare(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9A-Za-z]", "")
 
 
-def _card(text: Column, digest: Column) -> Column:
-    """First digit kept; the last one keeps the Luhn check as it was."""
+def _from(text: Column, start: Column | int) -> Column:
+    return F.substring(text, F.lit(start) if isinstance(start, int) else start, F.length(text))
+
+
+def _card(key: str, text: Column) -> Column:
+    """The first digit stays; the last one is as far from the right check digit as it was."""
 
     def drawn(digits: Column) -> Column:
-        fresh = F.concat(F.substring(digits, 1, 1), same_layout(F.substring(digits, F.lit(2), F.length(digits) - 1), digest, digits_only=True))
-        head = F.substring(fresh, F.lit(1), F.length(fresh) - 1)
-        need = (10 - luhn_sum(F.concat(head, F.lit("0"))) % 10) % 10
-        return F.when(luhn_sum(digits) % 10 == 0, F.concat(head, need.cast("string"))).otherwise(fresh)
+        head = F.substring(digits, F.lit(1), F.length(digits) - 1)
+        off = F.substring(digits, F.length(digits), F.lit(1)).cast("int") - _check_digit(head)
+        fresh = F.concat(F.substring(digits, 1, 1), spelt(key, "card", _from(head, 2), digits_alphabet))
+        return let(fresh, lambda f: F.concat(f, F.pmod(_check_digit(f) + off, F.lit(10)).cast("string")))
+
+    return poured(let(_bare(text), drawn), text)
+
+
+def _iban_check(country: Column, account: Column) -> Column:
+    """The check digits, as a number, of a country's account number."""
+    value = lambda c: F.when(c.between("0", "9"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    step = lambda rest, c: let(value(c), lambda v: (F.when(v > 9, rest * 100 + v).otherwise(rest * 10 + v)) % 97)
+    return 98 - F.aggregate(characters(F.concat(account, country, F.lit("00"))), F.lit(0), step)
 
-    return let(let(_bare(text), drawn), lambda fresh: poured(fresh, text))
 
+def _iban(key: str, text: Column) -> Column:
+    """The country stays; the check digits are as far from the right ones as they were."""
 
-def _wider(attempt: Column, most: int) -> Column:
-    """By how many characters a draw's space is wider than the entity's layout."""
-    return F.least(F.greatest(attempt - CALM, F.lit(0)), F.lit(most))
+    def drawn(bare: Column) -> Column:
+        country, account = F.substring(bare, 1, 2), _from(bare, 5)
+        off = F.substring(bare, 3, 2).cast("int") - _iban_check(country, account)
+        fresh = spelt(key, "iban", account, plain_alphabet)
+        return let(fresh, lambda f: F.concat(country, F.lpad(F.pmod(_iban_check(country, f) + off, F.lit(100)).cast("string"), 2, "0"), f))
 
+    return poured(let(_bare(text), drawn), text)
 
-def _more(letters: str, digest: Column, n: Column) -> Column:
-    """``n`` more characters, from places of the digest that short texts don't use."""
-    return F.when(n == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: _pick(letters, digest, i + 70)), ""))
 
+def _phone(key: str, text: Column) -> Column:
+    """The country code stays, as far as it is one digit (1, 7) or two; of a national number a first 0."""
+
+    def drawn(digits: Column) -> Column:
+        code = F.when(text.startswith("+"), F.when(digits.rlike("^[17]"), 1).otherwise(2)).when(digits.startswith("0"), 1).otherwise(0)
+        return F.concat(F.substring(digits, F.lit(1), code), spelt(key, "phone", _from(digits, code + 1), digits_alphabet))
+
+    return poured(let(_bare(text), drawn), text)
 
-def _ip(text: Column, digest: Column, attempt: Column) -> Column:
-    """Addresses of private networks stay in theirs; where these are full, in 10.0.0.0, then in none."""
-    small = text.rlike(r"^(192\.168|172\.(1[6-9]|2\d|3[01]))\.")
-    kept = F.when(attempt > 2 * CALM, 0).when(text.rlike(r"^(10|127)\."), 1).when(small, F.when(attempt > CALM, 1).otherwise(2)).otherwise(0)
-    part = lambda x, i: F.when(i < kept, F.when(small & (kept == 1), "10").otherwise(x)).when(i == 0, (_number(digest, i, 99) + 128).cast("string")).otherwise((_number(digest, i, 254) + 1).cast("string"))
-    return F.array_join(F.transform(F.split(text, r"\."), part), ".")
+
+def _ip(key: str, text: Column) -> Column:
+    """Addresses of private networks stay in theirs; public ones become public ones."""
+
+    def drawn(octets: Column) -> Column:
+        first = F.get(octets, 0)
+        public = F.array_contains(F.array(*map(F.lit, PUBLIC)), first)
+        kept = F.when(first.isin("172", "192"), 2).otherwise(F.when(public, 0).otherwise(1))
+        values = F.transform(octets, lambda o, i: F.when(i < kept, 0).when(i == 0, F.array_position(F.array(*map(F.lit, PUBLIC)), o).cast("int") - 1).otherwise(o.cast("int")))
+        sizes = F.transform(octets, lambda o, i: F.when(i < kept, 1).when(i == 0, len(PUBLIC)).otherwise(256))
+        fresh = permuted(key, "ip", values, sizes)
+        return F.array_join(F.transform(fresh, lambda v, i: F.when(i < kept, F.get(octets, i)).when(i == 0, F.get(F.array(*map(F.lit, PUBLIC)), v)).otherwise(v.cast("string"))), ".")
+
+    return let(F.transform(F.split(text, r"\."), lambda o: o.cast("int").cast("string")), drawn)
 
 
 def groups_of(text: Column) -> Column:
@@ -189,145 +236,100 @@ def groups_of(text: Column) -> Column:
     return F.transform(let(F.split(F.lower(plain), "::"), filled), lambda g: F.regexp_replace(g, "^0+", ""))
 
 
-def _ip_6(text: Column, digest: Column) -> Column:
+def _ip_6(key: str, text: Column) -> Column:
     """Written in full; groups of zeros stay, and so do the prefixes of local networks."""
-    def part(g: Column, i: Column) -> Column:
-        fresh = F.lower(F.hex(_number(digest, i, 61_440) + 4096))
-        return F.when(g == "", "0").when((i == 0) & g.rlike("^(?:fe[89ab].|f[cd]..)$"), g).otherwise(fresh)
 
-    return F.array_join(F.transform(groups_of(text), part), ":")
+    def drawn(groups: Column) -> Column:
+        stays = lambda g, i: (g == "") | ((i == 0) & g.rlike("^(?:fe[89ab].|f[cd]..)$"))
+        values = F.transform(groups, lambda g, i: F.when(stays(g, i), 0).otherwise(F.conv(g, 16, 10).cast("int") - 1))
+        fresh = permuted(key, "ip_6", values, F.transform(groups, lambda g, i: F.when(stays(g, i), 1).otherwise(65_535)))
+        return F.array_join(F.transform(fresh, lambda v, i: let(F.get(groups, i), lambda g: F.when(g == "", "0").when(stays(g, i), g).otherwise(F.lower(F.hex(v + 1))))), ":")
 
+    return let(groups_of(text), drawn)
 
-def _phone(text: Column, digest: Column, attempt: Column) -> Column:
-    """The country code stays, as far as it is one digit (1, 7) or two; of a national number a first 0."""
-    def drawn(digits: Column) -> Column:
-        code = F.when(text.startswith("+"), F.when(digits.rlike("^[17]"), 1).otherwise(2)).when(digits.startswith("0"), 1).otherwise(0)
-        return F.concat(F.substring(digits, F.lit(1), code), same_layout(F.substring(digits, code + 1, F.length(digits)), digest, digits_only=True))
 
-    return F.concat(let(let(_bare(text), drawn), lambda fresh: poured(fresh, text)), _more("0123456789", digest, _wider(attempt, 8)))
+def _email(key: str, text: Column) -> Column:
+    """The domain's surrogate goes by the domain alone; its last label stays."""
+    local, domain = F.lower(F.substring_index(text, "@", 1)), F.lower(F.substring_index(text, "@", -1))
+    last = F.substring_index(domain, ".", -1)
+    body = F.substring(domain, F.lit(1), F.length(domain) - F.length(last))
+    return cased_as(F.concat(spelt(key, "email", local, plain_alphabet), F.lit("@"), spelt(key, "domain", body, plain_alphabet), last), text)
 
 
-def _iban(text: Column, digest: Column) -> Column:
-    """The country stays."""
-    drawn = lambda bare: F.concat(F.substring(bare, 1, 2), same_layout(F.substring(bare, F.lit(3), F.length(bare)), digest))
-    return let(let(_bare(text), drawn), lambda fresh: poured(fresh, text))
+def _secret(key: str, text: Column) -> Column:
+    """Known beginnings stay; hexadecimal digits stay such."""
+    start = F.regexp_extract(text, "^(?:AKIA|ASIA|(?:sk|pk|ghp|gho)[-_])", 0)
+    hex_alphabet = lambda digits: lambda c, _: F.when(F.lit(digits).contains(c), digits)
+    return F.when(text.rlike("^[0-9a-f]+$"), spelt(key, "hex", text, hex_alphabet("0123456789abcdef"))).when(text.rlike("^[0-9A-F]+$"), spelt(key, "hex", text, hex_alphabet("0123456789ABCDEF"))).otherwise(F.concat(start, spelt(key, "secret", _from(text, F.length(start) + 1), plain_alphabet)))
 
 
-def _email(key: str, text: Column, digest: Column, attempt: Column) -> Column:
-    """The domain's surrogate goes by the domain alone; its last label stays."""
-    local, domain = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
-    last = F.substring_index(domain, ".", -1)
-    body = F.substring(domain, F.lit(1), F.length(domain) - F.length(last))
-    return F.concat(same_layout(local, digest), _more("abcdefghijklmnopqrstuvwxyz", digest, _wider(attempt, 12)), F.lit("@"), let(_digest(key, F.lit("domain"), F.lower(domain), F.lit(0)), lambda d: same_layout(body, d)), last)
+def _word(key: str, word: Column) -> Column:
+    """A word of a name."""
 
+    def alphabet(c: Column, i: Column) -> Column:
+        out = F.when((i == F.length(word) - 1) & (F.length(word) > 2) & F.lit("".join(NAME_VOWELS)).contains(c), c)
+        for letters in NAME_LETTERS:
+            out = out.when(F.lit(letters).contains(c), letters)
+        return out
 
-def _name(kind: Column, text: Column, digest: Column, attempt: Column) -> Column:
-    """An invented name in the script of the name, with an ending by gender."""
-    ending = F.when(kind == "name_m", 0).when(kind == "name_f", 1).otherwise(2)
+    return cased_as(spelt(key, "name", F.lower(word), alphabet), word)
 
-    def of(script: str) -> Column:
-        syllables = F.split(F.lit(SYLLABLES[script]), " ")
-        n = len(SYLLABLES[script].split())
-        more = lambda: F.transform(F.sequence(F.lit(1), F.greatest(_wider(attempt, 12), F.lit(1))), lambda i: F.get(syllables, _number(digest, i + 70, n)))
-        longer = F.when(_wider(attempt, 12) == 0, "").otherwise(F.array_join(more(), ""))
-        return F.initcap(F.concat(*[F.get(syllables, _number(digest, F.lit(i), n)) for i in range(4)], longer, F.get(F.array(*map(F.lit, ENDINGS[script])), ending)))
 
-    fresh = F.when(text.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(text.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
-    return F.when((F.length(text) > 1) & ~text.endswith(".") & (F.upper(text) == text), F.upper(fresh)).otherwise(fresh)
+def _name(key: str, text: Column) -> Column:
+    """Title and particles stay, the other words are exchanged one by one."""
+    title = F.regexp_extract(text, f"^{TITLE}", 0)
+    words = F.split(_from(text, F.length(title) + 1), r"[ \t]")
+    return F.concat(title, F.array_join(F.transform(words, lambda w: F.when(w.rlike(f"^{PARTICLE}$"), w).otherwise(_word(key, w))), " "))
 
 
 def kind_of(entity: Column) -> Column:
     out = F.when(entity.contains("@"), "email")
     for kind in ("ip", "secret", "iban", "phone", "social", "card", "national", "ip_6"):
         out = out.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), "phone" if kind == "national" else kind)
-    neutral = rf"(?:(?:{NEUTRAL})\.?[ \t])*"
-    return out.when(entity.rlike(rf"^{neutral}(?:{MALE})\.?[ \t]"), "name_m").when(entity.rlike(rf"^{neutral}(?:{FEMALE})\.?[ \t]"), "name_f").otherwise("name_n")
-
+    return out.otherwise("name")
 
-def canonical(kind: Column, text: Column) -> Column:
-    """What makes two spellings the same entity."""
-    return F.when(kind.isin("email"), F.lower(text)).when(kind.isin("card", "iban", "phone"), F.regexp_replace(text, r"[ .\-()/]", "")).when(kind == "ip_6", F.array_join(groups_of(text), ":")).when(kind.startswith("name"), F.lower(text)).otherwise(text)
 
+def surrogate(key: str, kind: Column, text: Column) -> Column:
+    return (
+        F.when(kind == "name", _name(key, text)).when(kind == "email", _email(key, text)).when(kind == "phone", _phone(key, text)).when(kind == "card", _card(key, text)).when(kind == "ip", _ip(key, text))
+        .when(kind == "secret", _secret(key, text)).when(kind == "iban", _iban(key, text)).when(kind == "ip_6", _ip_6(key, text)).otherwise(spelt(key, "social", text, digits_alphabet))
+    )
 
-def parsed(entity: Column) -> Column:
-    """(kind, title, parts): parts are what has surrogates of its own, names word by word (particles stay)."""
-    title = F.regexp_extract(entity, f"^{TITLE}", 0)
-    return let(kind_of(entity), lambda kind: F.struct(
-        kind.alias("kind"),
-        F.when(kind.startswith("name"), title).otherwise("").alias("title"),
-        F.when(kind.startswith("name"), F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), r"[ \t]")).otherwise(F.array(entity)).alias("parts"),
-    ))
-
-
-def is_particle(kind: Column, part: Column) -> Column:
-    return kind.startswith("name") & part.rlike(f"^{PARTICLE}$")
-
-
-def surrogate(key: str, kind: Column, text: Column, attempt: Column) -> Column:
-    def drawn(d: Column) -> Column:
-        return (
-            F.when(kind == "email", _email(key, text, d, attempt)).when(kind == "ip", _ip(text, d, attempt)).when(kind == "card", _card(text, d)).when(kind == "phone", _phone(text, d, attempt)).when(kind == "iban", _iban(text, d))
-            .when((kind == "secret") & text.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _hex(text, d)).when(kind == "social", same_layout(text, d, digits_only=True))
-            .when(kind == "ip_6", _ip_6(text, d)).when(kind.startswith("name"), _name(kind, text, d, attempt)).otherwise(same_layout(text, d))
-        )
-
-    return let(_digest(key, kind, canonical(kind, text), attempt), drawn)
-
-
-def _unit_key(kind: Column, text: Column) -> Column:
-    return F.concat_ws("\x1f", kind, canonical(kind, text))
 
+def canonical(kind: Column, text: Column) -> Column:
+    """What makes two spellings the same entity."""
+    return F.when(kind.isin("email", "name"), F.lower(text)).when(kind.isin("card", "iban", "phone"), F.regexp_replace(text, r"[ .\-()/]", "")).when(kind == "ip_6", F.array_join(groups_of(text), ":")).otherwise(text)
 
-def redrawn(key: str, found: DataFrame) -> DataFrame:
-    """(unit, attempt) of every unit whose first surrogate another has, or is an entity itself.
 
-    ``found`` has a row for each distinct unit: kind, text (any spelling), unit.  Units of one
-    kind and their surrogates are compared in canonical form; the least unit keeps the surrogate.
-    """
-    state = found.withColumn("attempt", F.lit(0))
-    for _ in range(ROUNDS):
-        drawn = state.withColumn("given", _unit_key(F.col("kind"), surrogate(key, F.col("kind"), F.col("text"), F.col("attempt"))))
-        drawn = written(drawn, "surrogates")
-        first = drawn.groupBy("given").agg(F.min("unit").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("given", "keeper")
-        real = drawn.select(F.col("unit").alias("given")).join(drawn.select("given").distinct(), "given", "left_semi")
-        taken = first.join(real.withColumn("real", F.lit(True)), "given", "full").select("given", "keeper", F.coalesce("real", F.lit(False)).alias("real"))
-        if not taken.limit(1).count():
-            break
-        judged = drawn.join(taken, "given", "left")
-        again = F.coalesce(F.col("real"), F.lit(False)) | F.coalesce(F.col("keeper") != F.col("unit"), F.lit(False))
-        state = judged.select("kind", "text", "unit", F.when(again, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"))
-    else:
-        raise ValueError(f"entities still share surrogates after {ROUNDS} draws")
-    return drawn.where("attempt > 0").select("unit", "attempt")
+def pieces_of(text: Column) -> Column:
+    """The text in pieces: those at odd places are entities."""
+    words = lambda name: F.split(F.regexp_replace(name, f"^{TITLE}", ""), r"[ \t]")
+    names = F.when(text.rlike(SIGNS["name"]), F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TITLED), F.lit(0)), words))).otherwise(F.array().cast("array<string>"))
+    again = F.array_distinct(F.filter(names, lambda w: w.rlike(r"^\p{Lu}[\p{L}'’\-]{2,}$")))
+    # Names come again without their form of address: such a text has a pattern of its own.
+    pattern = let(again, lambda a: F.when(F.size(a) == 0, ANY).otherwise(F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(a, "|"), F.lit(r")(?![\p{L}\p{N}])"))))
+    # No text holds its own hash, so that can mark where entities begin and end.
+    mark = F.concat(F.lit("\ufffe"), F.hex(F.xxhash64(text)), F.lit("\ufffe"))
+    return F.when(text.rlike(SIGN), let(mark, lambda m: F.split(F.regexp_replace(text, pattern, F.concat(m, F.lit("$0"), m)), m))).otherwise(F.array(text))
 
 
 def with_surrogates(docs: DataFrame, key: str = "corpuscle") -> DataFrame:
     """``docs`` with surrogates in ``text`` and a column ``pii_kinds``: the kinds of what was replaced, in order."""
-    columns = docs.columns
-    entities = F.when(F.col("text").rlike(SIGN), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    mentions = docs.select(F.explode(entities).alias("entity")).distinct().select("entity", parsed(F.col("entity")).alias("u"))
-    spelled = written(mentions.select("entity", F.col("u.kind").alias("kind"), F.explode("u.parts").alias("text")).where(~is_particle(F.col("kind"), F.col("text"))).withColumn("unit", _unit_key(F.col("kind"), F.col("text"))), "entities")
-    found = spelled.groupBy("unit").agg(F.min("kind").alias("kind"), F.min("text").alias("text"))
-    fixes = redrawn(key, found)
-    n = fixes.count()
-
-    def render(u: Column, attempt: object) -> Column:
-        return F.concat(u["title"], F.array_join(F.transform(u["parts"], lambda x: F.when(is_particle(u["kind"], x), x).otherwise(surrogate(key, u["kind"], x, attempt(u["kind"], x)))), " "))
-
-    # The text between entities, then an entity, and so on; the last stretch has no entity.
-    scanned = docs.withColumn("__e", entities).withColumn("__u", F.transform("__e", parsed)).withColumn("__t", F.when(F.size("__e") > 0, F.split("text", ANY)))
-    if n == 0:
-        fixed = scanned.withColumn("__s", F.transform("__u", lambda u: render(u, lambda kind, x: F.lit(0))))
-    elif n <= KEPT_IN_A_MAP:
-        table = fixes.agg(F.map_from_entries(F.collect_list(F.struct("unit", "attempt"))).alias("__m")).withColumn("__one", F.lit(1))
-        joined = scanned.withColumn("__one", F.lit(1)).join(F.broadcast(table), "__one")  # one row of at most KEPT_IN_A_MAP entries
-        fixed = joined.withColumn("__s", F.transform("__u", lambda u: render(u, lambda kind, x: F.coalesce(F.element_at("__m", _unit_key(kind, x)), F.lit(0)))))
-    else:
-        maps = spelled.join(fixes, "unit").groupBy("entity").agg(F.map_from_entries(F.collect_set(F.struct("unit", "attempt"))).alias("m"))
-        rows = written(scanned.withColumn("__row", F.monotonically_increasing_id()), "scanned")
-        by_row = rows.select("__row", F.explode(F.array_distinct("__e")).alias("entity")).join(maps, "entity").groupBy("__row").agg(F.flatten(F.collect_list(F.map_entries("m"))).alias("p"))
-        joined = rows.join(by_row.select("__row", F.map_from_entries(F.array_distinct("p")).alias("__m")), "__row", "left")
-        fixed = joined.withColumn("__s", F.transform("__u", lambda u: render(u, lambda kind, x: F.coalesce(F.element_at("__m", _unit_key(kind, x)), F.lit(0)))))
-    text = F.when(F.size("__e") == 0, F.col("text")).otherwise(F.array_join(F.transform("__t", lambda t, i: F.concat(t, F.coalesce(F.get("__s", i), F.lit("")))), ""))
-    out = fixed.withColumn("__out", text).withColumn("pii_kinds", F.transform("__u", lambda u: F.regexp_replace(u["kind"], "_.", "")))
-    return out.select(*[F.col("__out").alias(c) if c == "text" else F.col(f"`{c}`") for c in columns if c != "pii_kinds"], "pii_kinds")
+    at = next(c for c in docs.columns if c.lower() == "text")
+    kinds, scanned = free_name(docs, "pii_kinds"), free_name(docs, "scanned")
+    render = lambda p, i: F.when(i % 2 == 0, F.struct(p.alias("text"), F.lit(None).cast("string").alias("kind"))).otherwise(let(kind_of(p), lambda k: F.struct(surrogate(key, k, p).alias("text"), F.regexp_replace(k, "_6", "").alias("kind"))))
+    found = F.when(F.col(f"`{at}`").isNotNull(), F.transform(pieces_of(F.col(f"`{at}`")), render))
+    out = docs.withColumn(scanned, found)
+    text = F.when(F.size(scanned) == 1, F.col(f"`{at}`")).otherwise(F.array_join(F.transform(scanned, lambda p: p["text"]), ""))
+    # A null text has no pieces, so joining them gives null.
+    of_kind = F.coalesce(F.filter(F.transform(scanned, lambda p: p["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    return out.select(*[text.alias(c) if c == at else F.col(f"`{c}`") for c in docs.columns], of_kind.alias(kinds))
+
+
+def collisions(docs: DataFrame, key: str = "corpuscle") -> DataFrame:
+    """(kind, surrogate, entities): surrogates that several different entities of the corpus have; there are none."""
+    at = next(c for c in docs.columns if c.lower() == "text")
+    pieces = docs.select(F.explode(F.filter(pieces_of(F.col(f"`{at}`")), lambda _, i: i % 2 == 1)).alias("entity")).distinct()
+    units = pieces.select("entity", kind_of(F.col("entity")).alias("kind")).withColumn("given", canonical(F.col("kind"), surrogate(key, F.col("kind"), F.col("entity"))))
+    units = units.select("kind", "given", canonical(F.col("kind"), F.col("entity")).alias("unit")).distinct()
+    return units.groupBy("kind", F.col("given").alias("surrogate")).agg(F.count("*").alias("entities")).where("entities > 1")
