@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 STEP_BYTES = 4 << 20
 LEARNT_TOGETHER = 1000
 #: White space as the library's patterns know it: fixed ranges.
@@ -31,19 +31,17 @@ class WordEncoder:
     """Ids of texts as arrays of little-endian unsigned integers of ``width`` bytes."""
 
     def __init__(self, path: str) -> None:
-        import json
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.load(open(path, encoding="utf-8"))
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.byte_level = spec["pre_tokenizer"]["type"] == "ByteLevel"
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        first = self.tokenizer.pre_tokenizer
+        self.byte_level = isinstance(first, pre_tokenizers.ByteLevel)
         self.lead = " " if self.byte_level else ""  # a word's own space
-        between = next((t for t in spec["added_tokens"] if t.get("special") and not any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))), None)
-        self.between = between and (between["content"], between["id"])
-        self.by_words = not (self.byte_level and spec["pre_tokenizer"]["add_prefix_space"])
+        self.between = next(((t.content, i) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
+        self.by_words = not (self.byte_level and first.add_prefix_space)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self._forget()

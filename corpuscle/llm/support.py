@@ -147,9 +147,9 @@ def components(edges: DataFrame) -> DataFrame:
         before, edges = edges, written(small.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).distinct(), "edges")
         discard(before)
         # Done when every node hangs on one root and no root hangs on another node.
-        tops, lows = edges.select(F.col("a").alias("n")).distinct(), edges.select(F.col("b").alias("n"))
-        many = edges.groupBy("b").count().where("count > 1").limit(1).count()
-        if not many and not lows.join(tops, "n", "left_semi").limit(1).count():
+        ends = edges.select(F.col("a").alias("n"), F.lit(0).alias("hangs")).unionAll(edges.select(F.col("b").alias("n"), F.lit(1).alias("hangs")))
+        open_ = ends.groupBy("n").agg(F.sum("hangs").alias("on"), F.min("hangs").alias("leaf")).where("on > 1 or (on > 0 and leaf = 0)")
+        if not open_.limit(1).count():
             break
     out = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     out.scratch_path = edges.scratch_path

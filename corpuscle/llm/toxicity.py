@@ -33,6 +33,7 @@ FEATURES = 4000
 LEAST_TOXIC = 3  # toxic documents with a feature, for it to be considered
 FOLDS = 5
 KEPT_WORDS = 400_000
+COUNTED_WORDS = 200_000  # different words of a task held before their trigrams are sent on
 
 #: What a character is used for, beside itself: fixed values.
 STANDS_FOR = {
@@ -41,9 +42,9 @@ STANDS_FOR = {
 }
 SEPARATORS = ".-_*~'`^"
 COST_STAND, COST_SINGLE, COST_DROP, COST_SPACE = 0.4, 0.1, 0.3, 1.5
-KEPT_COSTS = 500_000
+KEPT_COSTS = 200_000
 LEAST_BEGINNING, LONGEST_WORD = 3, 40  # characters of features: a longer word is known by its beginnings
-KEPT_STRETCHES = 200_000
+KEPT_STRETCHES = 50_000
 
 _LETTERS = re.compile(r"[^\W\d_]")
 _SIGNS = re.escape("".join(STANDS_FOR) + SEPARATORS)
@@ -287,7 +288,7 @@ def trigram_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(1).to_pylist():
                 words.update(text.lower().split())
-                if len(words) > KEPT_WORDS:
+                if len(words) > COUNTED_WORDS:
                     yield out()
         yield out()
 
@@ -298,22 +299,19 @@ MODEL_TRIGRAMS = 300_000  # the most frequent ones make the model that is sent t
 
 
 def language_model(rows: DataFrame) -> LanguageModel:
-    kept = trigram_counts(rows).orderBy(F.desc("n"), "trigram").limit(MODEL_TRIGRAMS)
-    return LanguageModel(dict(map(tuple, kept.collect())))
+    kept = trigram_counts(rows).orderBy(F.desc("n"), "trigram").limit(MODEL_TRIGRAMS).toArrow()
+    return LanguageModel(dict(zip(kept.column("trigram").to_pylist(), kept.column("n").to_pylist())))
 
 
-def fit(docs: list[tuple[list[int], list[float]]], labels: np.ndarray, width: int, steps: int = 400, rate: float = 0.1, penalty: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam over sparse rows."""
-    row = np.repeat(np.arange(len(docs)), [len(ids) for ids, _ in docs])
-    col = np.concatenate([np.asarray(ids, np.int64) for ids, _ in docs]) if len(row) else np.zeros(0, np.int64)
-    val = np.concatenate([np.asarray(v) for _, v in docs]) if len(row) else np.zeros(0)
+def fit(row: np.ndarray, col: np.ndarray, val: np.ndarray, labels: np.ndarray, width: int, steps: int = 400, rate: float = 0.1, penalty: float = 2e-5) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam over the places (row, column, value) of a sparse matrix."""
     w, share = np.zeros(width), min(max(labels.mean(), 1e-3), 1 - 1e-3)
     b = math.log(share / (1 - share))
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(row, val * w[col], minlength=len(docs)) + b
+        z = np.bincount(row, val * w[col], minlength=len(labels)) + b
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
-        g = np.bincount(col, val * error[row], minlength=width) / len(docs) + penalty * w
+        g = np.bincount(col, val * error[row], minlength=width) / len(labels) + penalty * w
         gb = error.mean()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -388,8 +386,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
             yield pa.record_batch({"toxic": batch.column(0), "ids": pa.array([x for x, _ in found], pa.list_(pa.int32())), "x": pa.array([x for _, x in found], pa.list_(pa.float32()))})
 
     got = texts.mapInArrow(inputs, "toxic int, ids array<int>, x array<float>").toArrow()  # TRAINING_ROWS at most
-    rows_ = list(zip(got.column("ids").to_pylist(), got.column("x").to_pylist()))
-    scorer.weights, scorer.bias = fit(rows_, np.asarray(got.column("toxic").to_pylist(), float), 2 * len(known))
+    ids = got.column("ids").combine_chunks()
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(ids.offsets.to_numpy()))
+    places = (row, ids.flatten().to_numpy(), got.column("x").combine_chunks().flatten().to_numpy())
+    scorer.weights, scorer.bias = fit(*places, got.column("toxic").to_numpy().astype(float), 2 * len(known))
     return scorer
 
 
