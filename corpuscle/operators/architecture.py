@@ -16,7 +16,8 @@ from corpuscle.functions.scalars import ancestors, dirname
 from corpuscle.operators.graph import STRONG
 
 ALLOWED_CATEGORIES = ("utility-hub", "test-framework", "declarative-configuration", "lifecycle-cleanup", "adapter-protocol")
-RISKS = ("high", "medium", "low", "none")
+RISKS = ("critical", "high", "medium", "low", "informational", "none")
+DOWNRANKING = ("utility-hub", "declarative-configuration", "lifecycle-cleanup", "adapter-protocol")
 
 
 def directory_rollup(rows: DataFrame, measures: dict[str, Column]) -> DataFrame:
@@ -82,26 +83,37 @@ def cousage(used: DataFrame, least: int = 2, least_files: int = 2) -> DataFrame:
 
     ``used``: owner, caller, caller_path, callable, ord.
     """
-    sets = used.groupBy("owner", "caller", "caller_path").agg(F.array_sort(F.collect_set("callable")).alias("pattern")).where(F.size("pattern") > 1)
-    return _patterns(sets, least, least_files)
+    return _patterns(_used_sets(used), least, least_files).drop("first_package", "last_package")
+
+
+def _used_sets(used: DataFrame) -> DataFrame:
+    return used.groupBy("owner", "caller", "caller_path").agg(F.array_sort(F.collect_set("callable")).alias("pattern")).where(F.size("pattern") > 1)
 
 
 def sequences(used: DataFrame, least: int = 2, least_files: int = 2) -> DataFrame:
     """Orders in which callers use callables of one owner, with repeats."""
-    sets = used.groupBy("owner", "caller", "caller_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "callable"))), lambda x: x["callable"]).alias("pattern")).where(F.size("pattern") > 1)
-    return _patterns(sets, least, least_files)
+    return _patterns(_used_sequences(used), least, least_files).drop("first_package", "last_package")
+
+
+def _used_sequences(used: DataFrame) -> DataFrame:
+    return used.groupBy("owner", "caller", "caller_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "callable"))), lambda x: x["callable"]).alias("pattern")).where(F.size("pattern") > 1)
 
 
 def combinations(calls: DataFrame, accesses: DataFrame, least: int = 2, least_files: int = 2) -> DataFrame:
     """Sets of calls and member accesses together; both kinds must be there."""
+    return _patterns(_used_combinations(calls, accesses), least, least_files).drop("first_package", "last_package")
+
+
+def _used_combinations(calls: DataFrame, accesses: DataFrame) -> DataFrame:
     label = lambda df, kind: df.select("owner", "caller", "caller_path", F.concat(F.lit(kind + ":"), F.col("callable" if kind == "call" else "member")).alias("label"), F.lit(kind).alias("kind"))
     sets = label(calls, "call").unionAll(label(accesses, "member")).groupBy("owner", "caller", "caller_path").agg(F.array_sort(F.collect_set("label")).alias("pattern"), F.min("kind").alias("k1"), F.max("kind").alias("k2"))
-    return _patterns(sets.where("k1 <> k2").drop("k1", "k2"), least, least_files)
+    return sets.where("k1 <> k2").drop("k1", "k2")
 
 
 def _patterns(sets: DataFrame, least: int, least_files: int) -> DataFrame:
+    package = dirname(F.col("caller_path"))
     by_file = sets.groupBy("owner", "pattern", "caller_path").agg(F.count("*").alias("n"))
-    found = by_file.groupBy("owner", "pattern").agg(F.sum("n").alias("occurrences"), F.count("*").alias("files"), F.countDistinct(dirname(F.col("caller_path"))).alias("packages"))
+    found = by_file.groupBy("owner", "pattern").agg(F.sum("n").alias("occurrences"), F.count("*").alias("files"), F.countDistinct(package).alias("packages"), F.min(package).alias("first_package"), F.max(package).alias("last_package"))
     return found.where((F.col("occurrences") >= least) & (F.col("files") >= least_files))
 
 
@@ -155,9 +167,14 @@ def layer_of(path: Column, layers: Sequence[tuple[str, str]]) -> Column:
     return out
 
 
-def spread(owner: Column, consumer: Column, layers: Sequence[tuple[str, str]]) -> Column:
-    a, b = layer_of(owner, layers), layer_of(consumer, layers)
-    return F.when(a.isNotNull() & b.isNotNull() & (a != b), "cross-layer").when(dirname(owner) != dirname(consumer), "cross-package").otherwise("internal")
+def spread(uses: DataFrame, layers: Sequence[tuple[str, str]]) -> DataFrame:
+    """owner_path, spread: over the layers, or else the packages, of an owner and all its consumers."""
+    layer, package = layer_of(F.col("caller_path"), layers), dirname(F.col("caller_path"))
+    by_owner = uses.groupBy("owner_path").agg(F.min(layer).alias("l1"), F.max(layer).alias("l2"), F.min(package).alias("p1"), F.max(package).alias("p2"))
+    own, home = layer_of(F.col("owner_path"), layers), dirname(F.col("owner_path"))
+    several = lambda low, high, x: F.least(low, x) != F.greatest(high, x)
+    found = F.when(several(F.col("l1"), F.col("l2"), own), "cross-layer").when(several(F.col("p1"), F.col("p2"), home), "cross-package").otherwise("package-internal")
+    return by_owner.select("owner_path", found.alias("spread"))
 
 
 def containment(uses: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
@@ -197,13 +214,31 @@ def facade_bypass(uses: DataFrame, rules: Sequence[tuple[str, str, str]]) -> Dat
     return uses.select(F.explode(F.array_compact(F.array(*hits))).alias("rule"), "owner_path", "caller_path", "callable")
 
 
-def boundary_candidates(used: DataFrame, least: int = 2) -> DataFrame:
-    """Owners with their breadth, co-usage and risk score; sort key (risk, score desc, owner)."""
-    sets = cousage(used, least).groupBy("owner").agg(F.count("*").alias("patterns"), F.max("occurrences").alias("most"))
-    joined = breadth(used).join(sets, "owner", "left").na.fill(0, ["patterns", "most"])
-    score = F.col("functions") + 2 * F.col("files") + 3 * F.col("packages") + F.col("patterns")
-    risk = F.when((F.col("packages") >= 3) & (F.col("patterns") > 0), "high").when(F.col("files") >= 3, "medium").otherwise("low")
-    return joined.withColumn("score", score).withColumn("risk", risk)
+def boundary_candidates(used: DataFrame, accesses: DataFrame | None = None, least: int = 2, classes: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Owners with patterns of use: owner, patterns, score, risk; sort key (risk, score desc, owner).
+
+    The score sums a thousand for each file and one for each occurrence over all patterns: sets,
+    orders, and with ``accesses`` combinations.  The risk is medium where the consumers in
+    patterns lie in several packages, else low, and a step less for each category (name, path
+    pattern) of ``classes`` that lowers it.
+    """
+    kinds = [_used_sets(used), _used_sequences(used), *([] if accesses is None else [_used_combinations(used, accesses)])]
+    found = [_patterns(sets, least, 2).select("owner", "files", "occurrences", "first_package", "last_package") for sets in kinds]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionAll(more)
+    by_owner = every.groupBy("owner").agg(
+        F.count("*").alias("patterns"), F.sum(F.col("files") * 1000 + F.col("occurrences")).alias("score"), F.min("first_package").alias("p1"), F.max("last_package").alias("p2"),
+    )
+    lowering = {name: F.lit(False) for name, _ in classes if name in DOWNRANKING}
+    for name, pattern in classes:
+        if name in lowering:
+            lowering[name] = lowering[name] | matches_policy_path(F.col("owner"), pattern)
+    at = F.when(F.col("p1") != F.col("p2"), 1).otherwise(2)
+    for hit in lowering.values():
+        at = at + hit.cast("int")
+    risk = F.get(F.array(*map(F.lit, ("medium", "low", "informational"))), F.least(at, F.lit(3)) - 1)
+    return by_owner.select("owner", "patterns", "score", risk.alias("risk"))
 
 
 def coverage_of(links: DataFrame, by: str) -> DataFrame:

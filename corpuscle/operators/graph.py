@@ -131,19 +131,23 @@ def diff(before: DataFrame, after: DataFrame, key: list[str], order: list[str],
 
 
 def resolution_stats(calls: DataFrame) -> DataFrame:
-    """Calls by outcome, in all (language null) and by language family, with rates."""
+    """Calls in all (language null) and by language family: by target and candidates, by outcome, and their rates.
+
+    Without a target, several candidates are ambiguous; none, where the call names an import, is
+    expected to be external; all else is unresolved, one candidate too.
+    """
     has_target = F.coalesce(F.col("target_id"), F.lit("")) != ""
     n = F.size(F.coalesce("candidate_target_ids", F.array().cast("array<string>")))
-    external = ~has_target & (n == 0) & (F.coalesce(F.col("import_path"), F.lit("")) != "")
-    marked = calls.select(
-        language_family(F.col("language")).alias("language"), has_target.alias("resolved"), (~has_target & (n > 1)).alias("ambiguous"),
-        (~has_target & (n == 1)).alias("candidate"), external.alias("external"), (~has_target & (n == 0) & ~external).alias("unresolved"),
-    )
-    names = ("resolved", "ambiguous", "candidate", "external", "unresolved")
-    sums = [F.sum(F.col(c).cast("long")).alias(c) for c in names]
-    grouped = marked.groupingSets([[], [F.col("language")]], F.col("language")).agg(F.count("*").alias("calls"), *sums)
-    rate = lambda c: F.round(F.when(F.col("calls") > 0, F.col(c) / F.col("calls")).otherwise(0.0), 6)
-    return grouped.select("language", "calls", *names, rate("resolved").alias("resolved_rate"), rate("external").alias("external_rate"))
+    several, external = ~has_target & (n > 1), ~has_target & (n == 0) & (F.coalesce(F.col("import_path"), F.lit("")) != "")
+    flags = {
+        "resolved": has_target, "ambiguous": several, "candidate": ~has_target & (n == 1), "unresolved": ~has_target & (n == 0),
+        "resolved_local": has_target, "ambiguous_local": several, "expected_external": external, "unresolved_local": ~has_target & (n < 2) & ~external,
+    }
+    marked = calls.select(language_family(F.col("language")).alias("language"), *[flag.alias(name) for name, flag in flags.items()])
+    grouped = marked.groupingSets([[], [F.col("language")]], F.col("language")).agg(F.count("*").alias("calls"), *[F.sum(F.col(c).cast("long")).alias(c) for c in flags])
+    rate = lambda c, name: F.round(F.when(F.col("calls") > 0, F.col(c) / F.col("calls")).otherwise(0.0), 6).alias(name)
+    rates = [rate("ambiguous", "ambiguity_rate"), rate("resolved_local", "resolution_rate"), *[rate(c, f"{c}_rate") for c in ("ambiguous_local", "unresolved_local", "expected_external")]]
+    return grouped.select("language", "calls", *flags, *rates)
 
 
 def confidence_counts(calls: DataFrame) -> DataFrame:
@@ -156,7 +160,8 @@ def resolve_calls(calls: DataFrame, declarations: DataFrame, imported_packages:
     Candidates are declarations of the same language family and terminal name.  Then, in order:
     those of the imported package; those whose container is the receiver's type; the one whose
     full name is what the call displays; functions, for a display without a dot; the caller's own
-    file.  A call has a target when one candidate is left and something more than the name told it.
+    file.  A call with one candidate left has that as its target and no candidates; any other
+    has the confidence ``candidate``.
     """
     c = calls.select("id", language_family(F.col("language")).alias("__f"), terminal_symbol(F.col("name")).alias("__t"), "display", "import_path", "receiver_type", F.col("path").alias("__path"))
     d = declarations.select(F.col("id").alias("did"), language_family(F.col("language")).alias("__f"), terminal_symbol(F.col("name")).alias("__t"), F.col("name").alias("dname"), "kind", "container", "package", F.col("path").alias("dpath"))
@@ -188,10 +193,10 @@ def resolve_calls(calls: DataFrame, declarations: DataFrame, imported_packages:
     final = rows.groupBy("id").agg(F.sort_array(F.collect_set("did")).alias("found"), F.max("label").alias("label"))
     one = F.size("found") == 1
     joined = calls.drop("target_id", "candidate_target_ids", "confidence").join(final, "id", "left")
-    confidence = F.when(F.col("found").isNull(), None).when(one, F.coalesce("label", F.lit("unique-terminal"))).otherwise("candidate")
+    confidence = F.when(one, F.coalesce("label", F.lit("unique-terminal"))).otherwise("candidate")
     return (
         joined.withColumn("confidence", confidence).withColumn("target_id", F.when(one, F.element_at("found", 1)))
-        .withColumn("candidate_target_ids", F.coalesce("found", F.array().cast("array<string>"))).drop("found", "label")
+        .withColumn("candidate_target_ids", F.when(one | F.col("found").isNull(), F.array().cast("array<string>")).otherwise(F.col("found"))).drop("found", "label")
     )
 
 

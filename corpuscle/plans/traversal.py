@@ -16,6 +16,8 @@ def written(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="corpuscle-plan-"))
     path = f"{folder.rstrip('/')}/level-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -28,6 +30,8 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int, skip_roots_first: bool
     Each level follows the edges out of the nodes that the level before came to first.  With
     ``skip_roots_first`` the first level leaves out edges that lead to a root.
     """
+    if depth > 1:  # each level reads the edges, however they were made
+        edges = written(edges.select("edge_id", "src", "dst"))
     frontier = roots.select("node").distinct()
     visited = frontier
     taken: DataFrame | None = None

@@ -85,8 +85,7 @@ SELECT owner, pattern, count(*) AS occurrences, count(DISTINCT caller_path) AS f
 def boundary_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls and member accesses together."""
     u = used(spark, sf_dir)
-    accesses = u.where("ord.l_linenumber <= 2").withColumn("member", (F.col("ord.l_linenumber") % 3).cast("string"))
-    return arch.combinations(u, accesses).withColumn("pattern", F.array_join("pattern", "|"))
+    return arch.combinations(u, member_accesses(u)).withColumn("pattern", F.array_join("pattern", "|"))
 
 
 @query(f"WITH {USED} SELECT owner, count(DISTINCT caller) AS functions, count(DISTINCT caller_path) AS files, count(DISTINCT regexp_replace(caller_path, '/[^/]*$', '')) AS packages FROM used GROUP BY owner")
@@ -95,13 +94,24 @@ def boundary_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arch.breadth(used(spark, sf_dir))
 
 
-@query(f"""WITH {USED}, b AS (SELECT owner, count(DISTINCT caller) AS functions, count(DISTINCT caller_path) AS files, count(DISTINCT regexp_replace(caller_path, '/[^/]*$', '')) AS packages FROM used GROUP BY owner),
-sets AS (SELECT owner, caller, caller_path, string_agg(DISTINCT callable, '|' ORDER BY callable) AS pattern, count(DISTINCT callable) AS n FROM used GROUP BY ALL),
-p AS (SELECT owner, pattern FROM sets WHERE n > 1 GROUP BY owner, pattern HAVING count(*) >= 2 AND count(DISTINCT caller_path) >= 2), c AS (SELECT owner, count(*) AS patterns FROM p GROUP BY owner)
-SELECT owner, functions + 2 * files + 3 * packages + coalesce(patterns, 0) AS score, CASE WHEN packages >= 3 AND coalesce(patterns, 0) > 0 THEN 'high' WHEN files >= 3 THEN 'medium' ELSE 'low' END AS risk FROM b LEFT JOIN c USING (owner)""")
+def member_accesses(u: DataFrame) -> DataFrame:
+    """The first two uses of each caller count as accesses of one of three members: the tables have no members."""
+    return u.where("ord.l_linenumber <= 2").withColumn("member", (F.col("ord.l_linenumber") % 3).cast("string"))
+
+
+@query(f"""WITH {USED}, both_ AS (SELECT owner, caller, caller_path, 'call:' || callable AS label, 1 AS k FROM used UNION ALL SELECT owner, caller, caller_path, 'member:' || (l_linenumber % 3)::VARCHAR, 2 FROM used WHERE l_linenumber <= 2),
+sets AS (SELECT 1 AS list, owner, caller, caller_path, string_agg(DISTINCT callable, '|' ORDER BY callable) AS pattern, count(DISTINCT callable) > 1 AS good FROM used GROUP BY ALL
+UNION ALL SELECT 2, owner, caller, caller_path, string_agg(callable, '|' ORDER BY l_linenumber, l_partkey, l_suppkey, callable), count(*) > 1 FROM used GROUP BY ALL
+UNION ALL SELECT 3, owner, caller, caller_path, string_agg(DISTINCT label, '|' ORDER BY label), count(DISTINCT k) = 2 FROM both_ GROUP BY ALL),
+p AS (SELECT owner, count(*) AS occurrences, count(DISTINCT caller_path) AS files, min(regexp_replace(caller_path, '/[^/]*$', '')) AS p1, max(regexp_replace(caller_path, '/[^/]*$', '')) AS p2
+FROM sets WHERE good GROUP BY list, owner, pattern HAVING count(*) >= 2 AND count(DISTINCT caller_path) >= 2),
+o AS (SELECT owner, count(*) AS patterns, sum(files * 1000 + occurrences)::BIGINT AS score, min(p1) <> max(p2) AS wide FROM p GROUP BY owner)
+SELECT owner, patterns, score, ['medium', 'low', 'informational'][least(3, if(wide, 1, 2) + (owner LIKE 'Brand#1_')::INT + (owner LIKE 'Brand#_1')::INT)] AS risk FROM o""")
 def boundary_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Owners by risk."""
-    return arch.by_risk(arch.boundary_candidates(used(spark, sf_dir)).select("owner", "score", "risk"), "owner")
+    """Owners with patterns, by risk."""
+    u = used(spark, sf_dir)
+    classes = (("utility-hub", "Brand#1?"), ("adapter-protocol", "Brand#?1"))
+    return arch.by_risk(arch.boundary_candidates(u, member_accesses(u), classes=classes), "owner")
 
 
 @query("""WITH offered AS (SELECT s_nationkey AS language, s_suppkey AS owner, string_agg(DISTINCT l_returnflag || l_linestatus, '|' ORDER BY l_returnflag || l_linestatus) AS callables, count(DISTINCT l_returnflag || l_linestatus) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)
@@ -149,11 +159,10 @@ LAYERS = (("core", "Brand#1?/**"), ("edge", "Brand#2?/**"))
 
 
 @query(f"""{USES}, l AS (SELECT *, CASE WHEN owner_path LIKE 'Brand#1_/%' THEN 'core' WHEN owner_path LIKE 'Brand#2_/%' THEN 'edge' END AS a, CASE WHEN caller_path LIKE 'Brand#1_/%' THEN 'core' WHEN caller_path LIKE 'Brand#2_/%' THEN 'edge' END AS b FROM uses)
-SELECT owner_path, CASE WHEN a <> b THEN 'cross-layer' WHEN regexp_replace(owner_path, '/[^/]*$', '') <> regexp_replace(caller_path, '/[^/]*$', '') THEN 'cross-package' ELSE 'internal' END AS spread, count(*) AS n FROM l GROUP BY ALL""")
+SELECT owner_path, CASE WHEN least(min(a), min(b)) <> greatest(max(a), max(b)) THEN 'cross-layer' WHEN bool_or(regexp_replace(owner_path, '/[^/]*$', '') <> regexp_replace(caller_path, '/[^/]*$', '')) THEN 'cross-package' ELSE 'package-internal' END AS spread FROM l GROUP BY owner_path""")
 def policy_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls by how far they reach over layers."""
-    u = uses(spark, sf_dir)
-    return u.groupBy("owner_path", arch.spread(F.col("owner_path"), F.col("caller_path"), LAYERS).alias("spread")).agg(F.count("*").alias("n"))
+    """Owners by how far they and all their consumers reach over layers."""
+    return arch.spread(uses(spark, sf_dir), LAYERS)
 
 
 @query(f"""{USES}, j AS (SELECT owner_path, starts_with(owner_path, 'Brand#11/') AS ruled, regexp_matches(caller_path, '^Brand#[12][^/]/') AS inside, regexp_replace(owner_path, '/[^/]*$', '') = regexp_replace(caller_path, '/[^/]*$', '') AS near FROM uses)

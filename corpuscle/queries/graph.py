@@ -118,11 +118,12 @@ def graph_diff_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.diff(all_.where(F.col("l_shipdate") < half), all_.where(F.col("l_shipdate") >= half), ["caller_id", "language"], ["line", "id"], ["confidence", "target_id"])
 
 
-@query(f"""WITH {CALLS}, m AS (SELECT language, target_id IS NOT NULL AS resolved, target_id IS NULL AND len(candidate_target_ids) > 1 AS ambiguous, target_id IS NULL AND len(candidate_target_ids) = 1 AS candidate,
-target_id IS NULL AND len(candidate_target_ids) = 0 AND import_path <> '' AS external, target_id IS NULL AND len(candidate_target_ids) = 0 AND import_path = '' AS unresolved FROM calls),
-g AS (SELECT language, count(*) AS calls, sum(resolved::INT)::BIGINT AS resolved, sum(ambiguous::INT)::BIGINT AS ambiguous, sum(candidate::INT)::BIGINT AS candidate, sum(external::INT)::BIGINT AS external, sum(unresolved::INT)::BIGINT AS unresolved
+@query(f"""WITH {CALLS}, m AS (SELECT language, target_id IS NOT NULL AS t, len(candidate_target_ids) AS n, import_path <> '' AS i FROM calls),
+g AS (SELECT language, count(*) AS calls, count(*) FILTER (t) AS resolved, count(*) FILTER (NOT t AND n > 1) AS ambiguous, count(*) FILTER (NOT t AND n = 1) AS candidate, count(*) FILTER (NOT t AND n = 0) AS unresolved,
+count(*) FILTER (t) AS resolved_local, count(*) FILTER (NOT t AND n > 1) AS ambiguous_local, count(*) FILTER (NOT t AND n = 0 AND i) AS expected_external, count(*) FILTER (NOT t AND (n = 1 OR n = 0 AND NOT i)) AS unresolved_local
 FROM m GROUP BY GROUPING SETS ((), (language)))
-SELECT *, round(resolved / calls, 6) AS resolved_rate, round(external / calls, 6) AS external_rate FROM g""")
+SELECT *, round(ambiguous / calls, 6) AS ambiguity_rate, round(resolved_local / calls, 6) AS resolution_rate, round(ambiguous_local / calls, 6) AS ambiguous_local_rate, round(unresolved_local / calls, 6) AS unresolved_local_rate,
+round(expected_external / calls, 6) AS expected_external_rate FROM g""")
 def resolution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G2, N8."""
     return graph.resolution_stats(calls(spark, sf_dir))

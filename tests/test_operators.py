@@ -121,14 +121,14 @@ def test_resolution_cascade(spark):
         ("5", "solo", "solo", "", "", "go", "w.go"), ("6", "dup", "q.dup", "", "", "go", "w.go"), ("7", "dup", "q.dup", "", "", "go", "y.go"), ("8", "none", "none", "", "", "go", "w.go"),
     ]
     found = {r["id"]: (r["target_id"], r["confidence"], r["candidate_target_ids"]) for r in graph.resolve_calls(spark.createDataFrame([(*r, None, [], None) for r in rows], schema), decls).collect()}
-    assert found["1"][:2] == ("c", "import-resolved")
+    assert found["1"] == ("c", "import-resolved", [])
     assert found["2"][:2] == ("b", "context-resolved")
     assert found["3"][:2] == ("a", "exact")
     assert found["4"][:2] == ("a", "context-resolved")
     assert found["5"][:2] == ("d", "unique-terminal")
     assert found["6"] == (None, "candidate", ["e", "f"])
     assert found["7"][:2] == ("f", "context-resolved")
-    assert found["8"] == (None, None, [])
+    assert found["8"] == (None, "candidate", [])
 
 
 def test_long_texts_and_long_field_chains(spark):
