@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.support import bounded_batches, id_and_text
+from corpuscle.llm.support import bounded_batches, id_and_text, release
 
 ERROR_RATE = 0.1
 SLICE_CHARACTERS = 4_000_000
@@ -208,6 +208,7 @@ def _scan_documents(rows: DataFrame, items: list[tuple[int | None, str]], rate:
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not matchers:
+            release()
             matchers.append(ItemMatcher(sent.value, rate))
         for batch in batches:
             found = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in matchers[0].matches(normal(text))]

@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from corpuscle.llm.support import held
+
 KEPT_WORDS = 500_000
 STEP_BYTES = 4 << 20
 LEARNT_TOGETHER = 1000
@@ -130,6 +131,5 @@ class WordEncoder:
             at = end
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return held(("encoder", path), lambda: WordEncoder(path))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -17,6 +17,7 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
 _own_folder: dict[str, str] = {}
+_held: dict[tuple, object] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -79,6 +80,20 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def held[T](key: tuple, make: Callable[[], T]) -> T:
+    """What an operator's tasks share in a worker; it takes the place of another operator's, so a worker holds one at a time."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Let go of what earlier tasks of other operators hold in this worker."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only doc_id and text, null texts as empty; other columns can't clash with later ones."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

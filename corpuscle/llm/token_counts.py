@@ -18,12 +18,11 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpuscle.llm.support import bounded_batches, id_and_text
+from corpuscle.llm.support import bounded_batches, held, id_and_text
 
 MARK = "▁"
 KEPT_SEGMENTS = 1_000_000
@@ -103,9 +102,8 @@ class PieceCounter(dict):
         return sum(map(self.__getitem__, self.segments(self.prefix + text.replace(" ", MARK))))
 
 
-@lru_cache(maxsize=4)
 def counter(path: str) -> PieceCounter:
-    return PieceCounter(path)
+    return held(("counter", path), lambda: PieceCounter(path))
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:

@@ -20,20 +20,21 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.support import bounded_batches, id_and_text, written
+from corpuscle.llm.support import bounded_batches, id_and_text, release, written
 
 TRAINING_ROWS = 30_000
 FEATURES = 4000
 LEAST_TOXIC = 3  # toxic documents with a feature, for it to be considered
 FOLDS = 5
 KEPT_WORDS = 400_000
-COUNTED_WORDS = 200_000  # different words of a task held before their trigrams are sent on
+COUNTED_WORDS = 100_000  # different words of a task held before their trigrams are sent on
 
 #: What a character is used for, beside itself: fixed values.
 STANDS_FOR = {
@@ -265,15 +266,17 @@ def _trigrams(words: list[str], times: np.ndarray) -> tuple[list[str], np.ndarra
     at = np.flatnonzero(starts)
     key = code[at] << 42 | code[at + 1] << 21 | code[at + 2]
     order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sums = np.add.reduceat(np.repeat(times, [len(w) + 1 for w in words])[order], first)
-    return ["".join(chr(int(k) >> s & 0x1FFFFF) for s in (42, 21, 0)) for k in key[order][first]], sums
+    return ["".join(chr(int(k) >> s & 0x1FFFFF) for s in (42, 21, 0)) for k in key[first]], sums
 
 
 def trigram_counts(rows: DataFrame) -> DataFrame:
     """trigram, n: over the lower-case words of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         words: Counter = Counter()
 
         def out() -> pa.RecordBatch:
@@ -326,6 +329,11 @@ class Scorer:
     def __init__(self, model: LanguageModel, known: dict[str, int], weights: np.ndarray, bias: float) -> None:
         self.model, self.known, self.weights, self.bias = model, known, weights, bias
 
+    @cached_property
+    def extractor(self) -> Extractor:
+        """Kept in a worker for as long as its tasks use this scorer."""
+        return Extractor(Restorer(self.model), self.known)
+
     def inputs(self, extractor: Extractor, text: str) -> tuple[list[int], list[float]]:
         """Each known feature twice: present, and its rate among the words."""
         counts, words = extractor.counts(text)
@@ -350,6 +358,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     sent = spark.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         extractor = Extractor(Restorer(sent.value))
         toxic, clean = Counter(), Counter()
 
@@ -379,10 +388,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     sent_scorer = spark.sparkContext.broadcast(scorer)
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         s = sent_scorer.value
-        extractor = Extractor(Restorer(s.model), s.known)
         for batch in batches:
-            found = [s.inputs(extractor, t) for t in batch.column(1).to_pylist()]
+            found = [s.inputs(s.extractor, t) for t in batch.column(1).to_pylist()]
             yield pa.record_batch({"toxic": batch.column(0), "ids": pa.array([x for x, _ in found], pa.list_(pa.int32())), "x": pa.array([x for _, x in found], pa.list_(pa.float32()))})
 
     got = texts.mapInArrow(inputs, "toxic int, ids array<int>, x array<float>").toArrow()  # TRAINING_ROWS at most
@@ -400,10 +409,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, scorer: Scorer | None = None) -
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         s = sent.value
-        extractor = Extractor(Restorer(s.model), s.known)
         for batch in batches:
-            yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array([s.score(extractor, t) for t in batch.column(1).to_pylist()], pa.float64())})
+            yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array([s.score(s.extractor, t) for t in batch.column(1).to_pylist()], pa.float64())})
 
     scored = id_and_text(docs).mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -420,9 +429,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = [c.lower() for c in docs.columns].index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         s = sent.value
-        extractor = Extractor(Restorer(s.model), s.known)
         for batch in batches:
-            yield batch.filter(pa.array([s.score(extractor, t or "") < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([s.score(s.extractor, t or "") < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
