@@ -3,18 +3,21 @@
 One automaton holds the word sequences of all templates.  A file's words stream through it:
 after each word, the state and length of the longest match that ends there (the matching
 statistics).  Maximal matches of some length become segments; per template, segments that
-advance in both file and template, with bounded gaps in the file, are chained, and a chain
-that covers enough of the template is a span with that template's label.  Three phrases are
+advance in both file and template, with bounded gaps in the file, are chained, and every chain
+that covers enough of the template is a span with that template's label; where chains of
+relatives lie on the same words, the one that matches most of them is kept.  Three phrases are
 also looked for word by word; their labels always stay.
 
-Null texts have no words and no labels; other columns are left aside; repeated rows are
+Texts of any length are scanned whole, in one pass.  Null texts have no words and no labels; other columns are left aside; repeated rows are
 scanned each.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +44,18 @@ TEMPLATES = (
     ("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("cc-by", "Licensed under CC BY 4.0."),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl-3", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
@@ -129,6 +144,16 @@ class SuffixAutomaton:
         return out
 
 
+class Chain(NamedTuple):
+    """Words ``first`` to ``last`` of a file, of which ``matched`` are the template's: a share ``covered`` of it."""
+
+    label: str
+    first: int
+    last: int
+    matched: int
+    covered: float
+
+
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> None:
         sequences = [words_of(t) for _, t in templates]
@@ -153,35 +178,64 @@ class Scanner:
                 continue
         return found
 
-    def spans(self, symbols: list[int | None]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, last word, share of the template) of each template's best chain."""
-        segments = self.automaton.segments(symbols, LEAST_MATCH)
+    def _chains(self, found: list[tuple[int, int, int, int]], size: int) -> list[tuple[int, int, int]]:
+        """(words covered, first, last) of the best chain that ends with each segment, in order of the segments' starts."""
+        # No segment is longer than the template, so the ones that can go before it start within a bounded stretch.
+        best: list[tuple[int, int, int]] = []
+        for i, (a, b, c, d) in enumerate(found):
+            cover, first = b - a + 1, a
+            for j in range(i - 1, -1, -1):
+                if found[j][0] < a - LARGEST_GAP - 1 - size:
+                    break
+                if found[j][1] < a - LARGEST_GAP - 1:
+                    continue
+                overlap = max(0, found[j][1] - a + 1, found[j][3] - c + 1)
+                if found[j][0] < a and found[j][2] < c and overlap < b - a + 1 and best[j][0] + b - a + 1 - overlap > cover:
+                    cover, first = best[j][0] + b - a + 1 - overlap, best[j][1]
+            best.append((cover, first, b))
+        return best
+
+    def chains(self, symbols: list[int | None]) -> list[Chain]:
+        """Each template's chains that cover enough of it and don't overlap, the best first; where none does, its best chain."""
         by_template: dict[int, list[tuple[int, int, int, int]]] = {}
-        for end, length, state in segments:
+        for end, length, state in self.automaton.segments(symbols, LEAST_MATCH):
             for k, ends in self.automaton.ends[state].items():
                 for template_end in ends:
                     by_template.setdefault(k, []).append((end - length + 1, end, template_end - length + 1, template_end))
         out = []
         for k, found in by_template.items():
-            # Best chain that ends with each segment; segments go in order of their start, and none is
-            # longer than the template, so the ones that can go before it start within a bounded stretch.
+            label, size = self.labels[k], self.sizes[k]
             found.sort()
-            best: list[tuple[int, int]] = []  # words covered, first word of the chain
-            for i, (a, b, c, d) in enumerate(found):
-                cover, first = b - a + 1, a
-                for j in range(i - 1, -1, -1):
-                    if found[j][0] < a - LARGEST_GAP - 1 - self.sizes[k]:
-                        break
-                    if found[j][1] < a - LARGEST_GAP - 1:
-                        continue
-                    overlap = max(0, found[j][1] - a + 1, found[j][3] - c + 1)
-                    if found[j][0] < a and found[j][2] < c and overlap < b - a + 1 and best[j][0] + b - a + 1 - overlap > cover:
-                        cover, first = best[j][0] + b - a + 1 - overlap, best[j][1]
-                best.append((cover, first))
-            i = max(range(len(best)), key=lambda i: best[i][0])
-            out.append((self.labels[k], best[i][1], found[i][1], min(1.0, best[i][0] / self.sizes[k])))
+            best = self._chains(found, size)
+            if max(best)[0] < COVERED * size:
+                cover, first, last = max(best)
+                out.append(Chain(label, first, last, cover, cover / size))
+            while enough := sorted((-cover, first, last) for cover, first, last in best if cover >= COVERED * size):
+                taken: list[tuple[int, int]] = []  # by place
+                for cover, first, last in enough:
+                    at = bisect.bisect(taken, (first, last))
+                    if (not at or taken[at - 1][1] < first) and (at == len(taken) or last < taken[at][0]):
+                        taken.insert(at, (first, last))
+                        out.append(Chain(label, first, last, -cover, min(1.0, -cover / size)))
+                # What overlaps no chain so far may make others.
+                left = [(first, last) for first, last in taken]
+                found = [f for f in found if (at := bisect.bisect(left, (f[1], len(symbols)))) == 0 or left[at - 1][1] < f[0]]
+                best = self._chains(found, size)
         return out
 
+    def spans(self, chains: list[Chain]) -> list[Chain]:
+        """Chains that cover enough; of relatives on the same words, the one that matches most of them."""
+        out: list[Chain] = []
+        places: list[tuple[int, int, str]] = []  # those kept, by their first word
+        longest = 0
+        for c in sorted((c for c in chains if c.covered >= COVERED), key=lambda c: (-c.matched, -c.covered, c.first, c.label)):
+            longest = max(longest, c.last - c.first + 1)
+            low, high = bisect.bisect(places, (c.first - longest,)), bisect.bisect(places, (c.last + 1,))
+            if not any(label != c.label and 2 * (min(last, c.last) - max(first, c.first) + 1) > c.last - c.first + 1 for first, last, label in places[low:high]):
+                bisect.insort(places, (c.first, c.last, c.label))
+                out.append(c)
+        return sorted(out, key=lambda c: (c.first, c.last, c.label))
+
 
 @lru_cache(maxsize=2)
 def scanner() -> Scanner:
@@ -202,13 +256,14 @@ def license_scan(docs: DataFrame) -> DataFrame:
                 words = words_of(text)
                 symbols = list(map(s.ids.get, words))
                 base = s.base(symbols)
-                spans = [x for x in s.spans(symbols) if x[3] >= COVERED]
+                chains = s.chains(symbols)
+                spans = s.spans(chains)
                 base_labels = {label for _, label in base}
                 starts = [at for at, _ in base]
                 rows.append((
                     len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)),
-                    ",".join(sorted(base_labels | {x[0] for x in spans})), 1.0 if base else max((x[3] for x in spans), default=0.0),
-                    [{"label": x[0], "first": x[1], "last": x[2], "covered": x[3]} for x in spans],
+                    ",".join(sorted(base_labels | {x.label for x in spans})), 1.0 if base else max((x.covered for x in spans), default=0.0),
+                    [{"label": x.label, "first": x.first, "last": x.last, "covered": x.covered} for x in spans],
                 ))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), span)
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]

@@ -361,6 +361,34 @@ def test_licences(spark):
     assert licenses.license_scan(documents(spark, [])).count() == 0
 
 
+def test_licence_relatives_and_every_copy(spark):
+    by_label = {}
+    for label, text in licenses.TEMPLATES:
+        by_label.setdefault(label, []).append(text)
+    rnd = random.Random(8)
+    filler = lambda n: " ".join(f"w{rnd.randrange(50)}" for _ in range(n))
+    texts, wanted = [], []
+    for label, notices in by_label.items():
+        for notice in notices:
+            texts.append(notice)
+            wanted.append([label])
+            texts.append(f"{filler(7)} {notice} {filler(3)} {notice} {filler(20)} {notice}")
+            wanted.append([label] * 3)
+    drawn = [rnd.choice(licenses.TEMPLATES) for _ in range(40)]
+    texts.append(" ".join(f"{t} {filler(12)}" for _, t in drawn))
+    wanted.append([label for label, _ in drawn])
+    found = {r["doc_id"]: r for r in licenses.license_scan(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, labels in enumerate(wanted):
+        spans = found[i]["spans"]
+        words = licenses.words_of(texts[i])
+        assert {x["label"] for x in spans} == set(labels) and all(0 <= x["first"] <= x["last"] < len(words) for x in spans), texts[i]
+        places = []  # several templates of a label may lie on the same words
+        for x in sorted(spans, key=lambda x: (x["first"], -x["last"])):
+            if not places or x["first"] > places[-1][1]:
+                places.append((x["first"], x["last"], x["label"]))
+        assert [p[2] for p in places] == labels and found[i]["score"] == 1.0, texts[i]
+
+
 def quality_by_hand(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
