@@ -3,13 +3,13 @@
 The converter reads an ARC file's version block, which names the fields of the record lines
 that follow (version 1 has five, version 2 ten); each record line declares the length of its
 content.  From these it synthesises what WARC wants: a record id from URL, date, page and
-digest, an ISO timestamp from the 14 digits, the record type, and block and payload digests.
+digest (repeated records are numbered), an ISO timestamp from the 14 digits, the record type, and block and payload digests.
 Equal payloads are written once, as a response; the others become revisits that name it.
 
 Records are uncompressed inside; Spark's own writer puts them into files (gzip as a whole),
 so lost executors leave no half file.  Null html is an empty payload, null URLs and ids stay
 null, repeated rows are records each (those with the response's own id are responses too),
-an empty table gives no files and no rows.
+an empty table gives no files and no rows; other columns, whatever their names, are left aside.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import hashlib
 import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.llm.support import bounded_batches, new_path
@@ -58,7 +59,7 @@ def arc_bytes(records: list[tuple[str | None, bytes]], version: int = 1, date: s
     out = [line("filedesc://pages.arc", "text/plain", head), head]
     for url, html in records:
         content = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(html) + html
-        out += [b"\n", line(re.sub(r"\s", "%20", url or "") or "-", "text/html", content), content]
+        out += [b"\n", line(plain_url(url), "text/html", content), content]
     return b"".join(out)
 
 
@@ -98,12 +99,18 @@ def http_payload(content: bytes) -> bytes:
     return body if found and head.startswith(b"HTTP/") else content
 
 
-def record_id(page: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {digest}')}>"
+def record_id(url: str, date: str, page: int | None, digest: str, nth: int = 0) -> str:
+    """The id of a record's ``nth`` copy with the same URL, date, page and payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {page} {digest} {nth}')}>"
 
 
-def warc_record(record: Record, page: int | None, refers_to: int | None) -> bytes:
-    """The WARC record, without its two closing line ends, of an ARC record."""
+def plain_url(url: str | None) -> str:
+    """A URL as a record line has it: no white space, and a dash for none."""
+    return re.sub(r"\s", "%20", url or "") or "-"
+
+
+def warc_record(record: Record, page: int | None, refers_to: int | None, nth: int = 0, refers_url: str | None = None) -> bytes:
+    """The WARC record, without its two closing line ends, of an ARC record; a revisit names the response's page and URL."""
     f, payload = record.fields, http_payload(record.content)
     digest, d = base32_sha1(payload), f["Archive-date"].ljust(14, "0")
     revisit = refers_to is not None
@@ -111,7 +118,7 @@ def warc_record(record: Record, page: int | None, refers_to: int | None) -> byte
     head = [
         "WARC/1.0",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page, digest)}",
+        f"WARC-Record-ID: {record_id(f['URL'], d, page, digest, nth)}",
         f"WARC-Target-URI: {f['URL']}",
         f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
         f"WARC-IP-Address: {f['IP-address']}",
@@ -119,7 +126,7 @@ def warc_record(record: Record, page: int | None, refers_to: int | None) -> byte
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
         f"X-Payload-Length: {len(payload)}",
         *([] if page is None else [f"X-Page-Id: {page}"]),
-        *([f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"] if revisit else []),
+        *([f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(plain_url(refers_url), d, refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"] if revisit else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -144,12 +151,22 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def with_response(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html (bytes) and refers_to: of equal payloads of at least ``least`` bytes, the response's page_id."""
+    """page_id, url, html (bytes), nth (of repeated rows), refers_to and refers_url: of equal payloads of at least ``least`` bytes, the response.
+
+    Which page is the response is found on digests; payloads move once, by their page and url,
+    so a payload that many pages share is no key of theirs.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("html"))
     keyed = rows.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html"))
-    twice = keyed.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "size", "response")
-    joined = keyed.join(twice, ["digest", "size"], "left")
-    return joined.select("page_id", "url", "html", F.when(~F.col("response").eqNullSafe(F.col("page_id")), F.col("response")).alias("refers_to"))
+    key = ("page_id", "url", "digest", "size")
+    each = keyed.select(*key).groupBy(*key).agg(F.count("*").alias("n"))
+    twice = each.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max(F.struct("page_id", "url")).alias("response"), F.sum("n").alias("n")).where("n > 1 and response.page_id is not null")
+    other = each.join(twice.select("digest", "size", "response"), ["digest", "size"]).where(~F.col("response.page_id").eqNullSafe(F.col("page_id")))
+    other = other.select(*[F.col(c).alias(f"o_{c}") for c in key], "response")
+    same = [keyed[c].eqNullSafe(other[f"o_{c}"]) for c in key]
+    joined = keyed.join(other, same[0] & same[1] & same[2] & same[3], "left")
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))) - 1
+    return joined.select("page_id", "url", "html", nth.alias("nth"), F.col("response.page_id").alias("refers_to"), F.col("response.url").alias("refers_url"))
 
 
 def write_warc(pages: DataFrame, path: str, least: int = 0) -> None:
@@ -159,12 +176,12 @@ def write_warc(pages: DataFrame, path: str, least: int = 0) -> None:
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            ids, urls, html, refers = (batch.column(i).to_pylist() for i in range(4))
+            ids, urls, html, nth, refers, refers_urls = (batch.column(i).to_pylist() for i in range(6))
             for version in ARC_FIELDS:  # a page's version goes by its place: both are exercised
                 mine = range(version - 1, len(ids), len(ARC_FIELDS))
                 arc = arc_bytes([(urls[i], html[i]) for i in mine], version)
                 for i, record in zip(mine, arc_records(arc)):
-                    held.append(warc_record(record, ids[i], refers[i]))
+                    held.append(warc_record(record, ids[i], refers[i], nth[i], refers_urls[i]))
                     size += len(held[-1]) + len(END)
                     if size >= FILE_BYTES:
                         yield pa.record_batch({"value": pa.array([END.join(held)], pa.binary())})
@@ -177,12 +194,12 @@ def write_warc(pages: DataFrame, path: str, least: int = 0) -> None:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record: page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, url, date.
+    """One row a record: page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, url, warc_date, refers_to_id.
 
     The digests of blocks, and of payloads that are there, are checked.
     """
     bounded_batches(spark)
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, warc_date string"
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, warc_date string, refers_to_id string"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,9 +210,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if h["WARC-Block-Digest"] != f"sha1:{base32_sha1(block)}" or h["WARC-Type"] == "response" and digest != base32_sha1(http_payload(block)):
                         raise ValueError(f"{h['WARC-Record-ID']} doesn't have its digest")
                     page, refers = h.get("X-Page-Id"), h.get("X-Refers-To-Page")
-                    rows.append((page and int(page), int(h["X-Payload-Length"]), digest, h["WARC-Type"], refers and int(refers), h["WARC-Record-ID"], h["WARC-Target-URI"], h["WARC-Date"]))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
-                names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "warc_date")
+                    rows.append((page and int(page), int(h["X-Payload-Length"]), digest, h["WARC-Type"], refers and int(refers), h["WARC-Record-ID"], h["WARC-Target-URI"], h["WARC-Date"], h.get("WARC-Refers-To")))
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+                names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "warc_date", "refers_to_id")
                 yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(read, schema)
@@ -208,8 +225,11 @@ def convert_arc(files: DataFrame) -> DataFrame:
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
+                seen: Counter = Counter()
                 for record in arc_records(data.as_py()):
-                    out = warc_record(record, None, None)
+                    same = (record.fields["URL"], record.fields["Archive-date"], hashlib.sha1(record.content).digest())
+                    out = warc_record(record, None, None, seen[same])
+                    seen[same] += 1
                     head = dict(line.split(": ", 1) for line in out[: out.index(END)].decode().split("\r\n")[1:])
                     yield pa.record_batch({"value": pa.array([out + END], pa.binary()), "record_id": pa.array([head["WARC-Record-ID"]]), "url": pa.array([record.fields["URL"]])})
 

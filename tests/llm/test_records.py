@@ -46,6 +46,21 @@ def test_repeated_pages_and_none(spark):
     assert warc.warc_round_trip(pages(spark, [])).count() == 0
 
 
+def test_record_ids_are_unique_and_revisits_name_their_response(spark):
+    rows = [(1, "u", "a"), (2, "u x", "a"), (2, "u x", "a"), (2, "v", "a"), (None, None, "a"), (None, None, "a"), (3, "u", "b"), (4, "u", "b"), (None, "w", "c"), (None, "w", "c")]
+    found = warc.warc_round_trip(pages(spark, rows)).collect()
+    ids = {r["record_id"]: r for r in found}
+    assert len(ids) == len(found) == len(rows)
+    for r in found:
+        assert (r["record_type"] == "revisit") == (r["refers_to"] is not None) == (r["refers_to_id"] is not None)
+        if r["refers_to"] is not None:
+            response = ids[r["refers_to_id"]]
+            assert response["page_id"] == r["refers_to"] and response["record_type"] == "response" and response["payload_digest"] == r["payload_digest"]
+    data = warc.arc_bytes([("http://a/", b"x"), ("http://b/", b"x"), ("http://a/", b"x")])
+    converted = warc.convert_arc(spark.createDataFrame([(bytearray(data),)], "content binary"))
+    assert converted.select("record_id").distinct().count() == 3
+
+
 def test_smaller_payloads_are_responses(spark):
     found = warc.with_response(pages(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")]), least=3)
     assert {r["page_id"]: r["refers_to"] for r in found.collect()} == {1: None, 2: None, 3: 4, 4: None}
@@ -58,7 +73,7 @@ def test_arc(spark, version):
     assert [r.fields["URL"] for r in records] == ["http://a/", "http://b/%20c", "-"] and [warc.http_payload(r.content) for r in records] == [b"<p>1", b"", b"x\n\ny"]
     head, block = next(iter(warc.warc_records(warc.warc_record(records[0], 7, None) + warc.END)))
     assert head["WARC-Date"] == "2001-02-03T04:05:06Z" and head["WARC-IP-Address"] == "1.2.3.4" and head["WARC-Type"] == "response" and block == records[0].content
-    assert head["WARC-Record-ID"] == warc.record_id(7, warc.base32_sha1(b"<p>1"))
+    assert head["WARC-Record-ID"] == warc.record_id("http://a/", "20010203040506", 7, warc.base32_sha1(b"<p>1"))
     files = spark.createDataFrame([(bytearray(data),)], "content binary")
     assert warc.convert_arc(files).count() == 3
     with pytest.raises(ValueError):
