@@ -158,14 +158,13 @@ def with_response(pages: DataFrame, least: int = 0) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("html"))
     keyed = rows.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html"))
-    key = ("page_id", "url", "digest", "size")
-    each = keyed.select(*key).groupBy(*key).agg(F.count("*").alias("n"))
+    # One key that is never null: the join and the numbering share its only shuffle of payloads.
+    keyed = keyed.withColumn("row", F.unhex(F.sha2(F.to_json(F.struct("page_id", "url", "digest", "size")), 256)))
+    each = keyed.select("row", "page_id", "url", "digest", "size").groupBy("row", "page_id", "url", "digest", "size").agg(F.count("*").alias("n"))
     twice = each.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max(F.struct("page_id", "url")).alias("response"), F.sum("n").alias("n")).where("n > 1 and response.page_id is not null")
-    other = each.join(twice.select("digest", "size", "response"), ["digest", "size"]).where(~F.col("response.page_id").eqNullSafe(F.col("page_id")))
-    other = other.select(*[F.col(c).alias(f"o_{c}") for c in key], "response")
-    same = [keyed[c].eqNullSafe(other[f"o_{c}"]) for c in key]
-    joined = keyed.join(other, same[0] & same[1] & same[2] & same[3], "left")
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))) - 1
+    other = each.join(twice.select("digest", "size", "response"), ["digest", "size"]).where(~F.col("response.page_id").eqNullSafe(F.col("page_id"))).select("row", "response")
+    joined = keyed.select("row", "page_id", "url", "html").join(other.hint("merge"), "row", "left")
+    nth = F.row_number().over(Window.partitionBy("row").orderBy("row")) - 1
     return joined.select("page_id", "url", "html", nth.alias("nth"), F.col("response.page_id").alias("refers_to"), F.col("response.url").alias("refers_url"))
 
 
