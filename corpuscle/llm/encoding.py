@@ -4,7 +4,8 @@ Both kinds of pre-tokenizer that are supported end a word at a lone space betwee
 characters: ByteLevel gives the space to the next word, a Split that drops white space drops
 it.  So a text without other white space beside a space, and without a special string, has
 the ids of its words one after the other.  Arrow splits such texts and numbers their distinct
-words; ids of words are kept (the number is bounded) and gathered by numpy.  Words that
+words (where white space is dropped, line ends part words as well); ids of words are kept (the
+number is bounded) and gathered by numpy.  Words that
 aren't kept are encoded together, a special string between them, which the library takes out
 before it looks at what stands on either side.  Any other text is encoded whole.
 """
@@ -90,6 +91,8 @@ class WordEncoder:
 
     def _by_words(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each of several even texts."""
+        if not self.byte_level:  # a line end is dropped like a space
+            texts = pc.replace_substring(texts, "\n", " ")
         split = pc.split_pattern(texts, " ")
         words, ends = split.values, split.offsets.to_numpy().astype(np.int64)  # a first word's own space is missing
         firsts = self._together(words.take(pa.array(ends[:-1])).to_pylist()) if self.byte_level else None
