@@ -56,7 +56,10 @@ def test_words_encode_as_texts(path, monkeypatch):
     monkeypatch.setattr(encoding, "STEP_BYTES", 500)
     monkeypatch.setattr(encoding, "LEARNT_TOGETHER", 7)
     e = WordEncoder(path)
-    texts = [*TEXTS, "<|endoftext| <|startoftext <", "a <| b|> c", *rnd_texts(2, 20_000)]
+    rnd = random.Random(4)
+    lines = ["".join(rnd.choice(["ab", "É", "ß", ",", ".", "!?", " ", "\n", "\n\n", "\t", "\r\n", "'S", "J̌", "\u0130", "\u00d7"]) for _ in range(rnd.randrange(14))) for _ in range(20_000)]
+    texts = [*TEXTS, "<|endoftext| <|startoftext <", "a <| b|> c", "a\n\nB, c.\nD", "\n\na", "a\n\n", "<|ENDOFTEXT|> B", *lines, *rnd_texts(2, 20_000)]
+    assert e.plain  # letters go by the model alone
     wanted = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [found.tolist() for found in e.in_steps(pa.array([*texts, None]))] == [*wanted, []]
 
