@@ -6,7 +6,7 @@ it.  So a text without other white space beside a space, and without a special s
 the ids of its words one after the other.  Line ends part words as well: they are dropped like
 spaces, or begin the next word in a space's stead, unless other white space stands beside them
 or more than two follow one another.  Arrow splits such texts and numbers their distinct
-words; ids of words are kept (the
+words; ids of words are kept (their
 number is bounded) and gathered by numpy.  A sign after a word of Latin letters is an id of its
 own, so the word is kept without it.  Words that aren't kept are encoded together: those of
 Latin letters by the file's model alone, which shows in its ids where a word begins or ends;
@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from corpuscle.llm.support import held
 
 KEPT_WORDS = 500_000
+KEPT_IDS = 1 << 26
 STEP_BYTES = 4 << 20
 LEARNT_TOGETHER = 1000
 #: White space as the library's patterns know it: fixed ranges.
@@ -68,7 +69,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.starts, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.starts, self.counts = np.zeros(1024, np.int32), np.zeros(1024, np.int32)  # of bounded words, so 32 bits hold them
         self.store, self.used = np.zeros(1 << 16, self.kind), 0
 
     def _model_alone(self, path: str) -> None:
@@ -154,7 +155,7 @@ class WordEncoder:
         texts = words.to_pylist()
         at = np.fromiter(map(self.place.get, texts, repeat(-1)), np.int64, len(texts))
         new = np.flatnonzero(at < 0)
-        if len(self.place) + len(new) > KEPT_WORDS:
+        if len(self.place) + len(new) > KEPT_WORDS or self.used > KEPT_IDS:
             self._forget()
             new = np.arange(len(texts))
         if len(new):
@@ -187,8 +188,10 @@ class WordEncoder:
         counts, starts = (self.counts[which] + (signs > 0))[indices], self.starts[which][indices]
         if self.byte_level:
             counts[ends[:-1]] = 0
-        after = np.cumsum(counts)
-        ids = self.store[np.repeat(starts - (after - counts), counts) + np.arange(int(after[-1]) if len(after) else 0)]
+        after = np.cumsum(counts, dtype=np.int32)  # a step's ids
+        from_ = np.repeat(starts - (after - counts), counts)
+        from_ += np.arange(len(from_), dtype=np.int32)
+        ids = self.store[from_]
         signs = signs[indices]
         signed = np.flatnonzero((signs > 0) & (counts > 0))
         ids[after[signed] - 1] = self.sign[signs[signed]]  # until here, whatever stands after the word's own ids

@@ -70,6 +70,9 @@ def test_kept_words_are_bounded(monkeypatch):
     texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(20)]
     found = [e.encode_many(pa.array([t]))[0].tolist() for t in texts]
     assert found == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts] and len(e.place) <= 50
+    monkeypatch.setattr(encoding, "KEPT_WORDS", 10_000)
+    monkeypatch.setattr(encoding, "KEPT_IDS", 300)
+    assert [e.encode_many(pa.array([t]))[0].tolist() for t in texts] == found and e.used < 1000
 
 
 def test_shards(spark, monkeypatch):
