@@ -115,6 +115,18 @@ def test_clusters_in_blocks(spark, monkeypatch):
     assert found == brute(rows, 3, 90, 100)
 
 
+def test_readers_decode_few_rows_at_once(spark):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    try:
+        for now, then in ((4096, "512"), (100, "100")):
+            spark.conf.set(key, now)
+            ngram_join.ngram_components(documents(spark, [(1, "a b c d", "s"), (2, "a b c d", "s")]), n=3, num=90, den=100).collect()
+            assert spark.conf.get(key) == then
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_one_of_each(spark):
     kept = ngram_join.one_of_each(documents(spark, [(1, "a b c d e f", "s"), (2, "a b c d e f", "s"), (3, "", "s"), (4, "", "s"), (None, "a b c d e f", "s")]))
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 3, 4] and kept.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
