@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from corpuscle.llm.support import held
+from corpuscle.llm.support import held, trim
 
 KEPT_WORDS = 500_000
 KEPT_IDS = 1 << 26
@@ -223,6 +223,7 @@ class WordEncoder:
             done = int(sizes[at - 1]) if at else 0
             end = max(at + 1, int(np.searchsorted(sizes, done + STEP_BYTES, side="right")))
             yield from self.encode_many(texts.slice(at, end - at))
+            trim()  # else a step's arrays stay with the worker
             at = end
 
 

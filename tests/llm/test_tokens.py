@@ -187,3 +187,12 @@ def test_no_piece_is_lost_in_the_exchange(spark, monkeypatch, lengths):
     assert all(b <= 64 for b in bins.values()) and bound <= len(bins) and report[-1] == {"bound": bound}
     if lengths and lengths[0] == 40 and len(set(lengths)) == 1:
         assert len(bins) == bound == len(lengths)
+
+
+def test_steps_give_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(encoding, "trim", lambda: calls.append(1))
+    monkeypatch.setattr(encoding, "STEP_BYTES", 10)
+    texts = pa.array(["one two", "three four five", None, "six"], pa.large_string())
+    words = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert [x.tolist() for x in words.in_steps(texts)] == [x.tolist() for x in words.encode_many(texts)] and len(calls) == 3
