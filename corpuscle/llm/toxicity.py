@@ -34,6 +34,8 @@ FEATURES = 4000
 LEAST_TOXIC = 3  # toxic documents with a feature, for it to be considered
 FOLDS = 5
 KEPT_WORDS = 400_000
+KEPT_IN_TRAINING = 100_000  # with all features, as texts
+KEPT_FEATURES = 1_000_000
 COUNTED_WORDS = 100_000  # different words of a task held before their trigrams are sent on
 
 #: What a character is used for, beside itself: fixed values.
@@ -54,6 +56,7 @@ _PRICE = re.compile(r"[$€£+\-(|!]*\d[\d.,:]*[%!)€£$+\-|]*")
 _EDGE_SIGNS = re.compile(rf"^[^\w{re.escape(''.join(STANDS_FOR))}]+|[^\w{re.escape(''.join(STANDS_FOR))}]+$")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t.\-_*]){2,}\S(?!\S)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_ENDS = ",.;:?\"'"  # signs that every form of a word is read without, where they stand at its edge
 _HEX = re.compile(r"[0-9a-f]{16,}|[^@\s]+@[^@\s]+\.[^@\s]+|\d")
 _REPEATED = re.compile(r"(.)\1*")
 _OFTEN = re.compile(r"(.)\1\1").search
@@ -160,7 +163,8 @@ def decode(word: str, model: LanguageModel, doubled: bool = False) -> str:
 
 
 def bare(word: str) -> str:
-    return _EDGE.sub("", word)
+    plain = word.strip(_ENDS)
+    return plain if plain.isalpha() else _EDGE.sub("", plain)
 
 
 def is_disguised(word: str) -> bool:
@@ -210,22 +214,29 @@ class Extractor(dict):
 
     def __init__(self, restorer: Restorer, known: dict[str, int] | None = None) -> None:
         self.restorer, self.known = restorer, known
-        self.begin = {f[:LEAST_BEGINNING + 1] for f in known or () if f[0] == "^"}
+        self.whole = {f[1:]: i for f, i in (known or {}).items() if f[0] == "="}
+        self.beginnings = {f[1:]: i for f, i in (known or {}).items() if f[0] == "^"}
+        self.begin = {f[:LEAST_BEGINNING] for f in self.beginnings}
+        self.starts = {f[1 : LEAST_BEGINNING + 1] for f in known or ()}
 
     def of(self, words: list[str]) -> tuple:
         if self.known is None:
             return tuple(f for w in words for f in features(w))
         found = []
         for w in words:
-            if f"^{w[:LEAST_BEGINNING]}" in self.begin:  # else no longer beginning is known either
-                found += [self.known[f] for f in features(w) if f in self.known]
-            elif (whole := self.known.get("=" + w)) is not None and len(w) <= LONGEST_WORD:
+            if (whole := self.whole.get(w)) is not None:
                 found.append(whole)
+            if w[:LEAST_BEGINNING] in self.begin:  # else no longer beginning is known either
+                found += [self.beginnings[w[:k]] for k in range(LEAST_BEGINNING, min(8, len(w))) if w[:k] in self.beginnings]
         return tuple(found)
 
     def _found(self, raw: str) -> tuple:
-        if raw.isalpha() and not _DISGUISED.search(raw):
-            return self.of([raw])
+        if raw.isalpha():
+            unsure = _DISGUISED.search(raw)
+            if self.known is not None and raw[:LEAST_BEGINNING] not in self.starts and not (unsure and unsure.start() < LEAST_BEGINNING):
+                return ()  # all readings begin like that
+            if not unsure:
+                return self.of([raw])
         several = [self.of(reading) for reading in self.restorer.readings(raw)]
         if len(several) < 2:
             return several[0] if several else ()
@@ -235,13 +246,19 @@ class Extractor(dict):
         return tuple(found.elements())
 
     def __missing__(self, raw: str) -> tuple:
-        if len(self) >= KEPT_WORDS:
+        if len(self) >= (KEPT_IN_TRAINING if self.known is None else KEPT_WORDS):
             self.clear()
-        found = self._found(raw)
+        word = raw.strip(_ENDS)
+        found = self._found(raw) if word == raw else self[word]
         if len(raw) <= 64:
             self[raw] = found
         return found
 
+    def present(self, text: str) -> set:
+        """The features that come in the text."""
+        text = text.lower()
+        return set().union(*map(self.__getitem__, set(text.split())), self.of(self.restorer.spaced(text)))
+
     def counts(self, text: str) -> tuple[Counter, int]:
         """How often each feature comes, and the number of words."""
         text = text.lower()
@@ -255,6 +272,57 @@ class Extractor(dict):
         return found, len(words)
 
 
+class Numbered(dict):
+    """Raw words by the number of their tuple of known features, 0 for none; words and tuples are kept, and bounded."""
+
+    def __init__(self, extractor: Extractor) -> None:
+        self.extractor = extractor
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.numbers, self.first, self.size, self.flat = {(): 0}, [0], [0], []
+
+    def __missing__(self, raw: str) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()  # the tuples stay, for the numbers given out
+        word = raw.strip(_ENDS)
+        if word != raw:
+            number = self[word]
+        else:
+            found = self.extractor._found(raw)
+            number = self.numbers.setdefault(found, len(self.numbers))
+            if number == len(self.first):
+                self.first.append(len(self.flat))
+                self.size.append(len(found))
+                self.flat += found
+        if len(raw) <= 64:
+            self[raw] = number
+        return number
+
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, feature and how often it comes, of all pairs that come; and each text's number of words."""
+        if len(self.flat) > KEPT_FEATURES:
+            self.forget()
+        found, words, hidden = [], np.zeros(len(texts), np.int64), []
+        for i, text in enumerate(texts):
+            text = text.lower()
+            raw = text.split()
+            words[i] = len(raw)
+            numbers = np.fromiter(map(self.__getitem__, raw), np.int32, len(raw))
+            found.append(numbers[numbers > 0])
+            hidden += [(i, f) for f in self.extractor.of(self.extractor.restorer.spaced(text))]
+        numbers = np.concatenate([np.zeros(0, np.int32), *found])
+        size = np.asarray(self.size, np.int64)[numbers]
+        after = np.cumsum(size)
+        at = np.arange(int(size.sum())) + np.repeat(np.asarray(self.first, np.int64)[numbers] - (after - size), size)
+        which = np.repeat(np.repeat(np.arange(len(texts)), [len(x) for x in found]), size)
+        width = max(1, len(self.extractor.known))
+        key = which * width + np.asarray(self.flat, np.int64)[at]
+        key, n = np.unique(np.concatenate([key, np.asarray([i * width + f for i, f in hidden], np.int64)]), return_counts=True)
+        return key // width, key % width, n, words
+
+
 def _trigrams(words: list[str], times: np.ndarray) -> tuple[list[str], np.ndarray]:
     """The trigrams of the words between spaces, and how often they come where each word comes so many times."""
     if not words:
@@ -280,10 +348,10 @@ def trigram_counts(rows: DataFrame) -> DataFrame:
         words: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            plain = {word: 0 for raw in words if (word := bare(raw)).isalpha()}
+            plain: dict[str, int] = {}
             for raw, n in words.items():
-                if (word := bare(raw)) in plain:
-                    plain[word] += n
+                if (word := bare(raw)).isalpha():
+                    plain[word] = plain.get(word, 0) + n
             words.clear()
             found, n = _trigrams(list(plain), np.asarray(list(plain.values()), np.int64))
             return pa.record_batch({"trigram": pa.array(found, pa.string()), "n": pa.array(n, pa.int64())})
@@ -330,20 +398,21 @@ class Scorer:
         self.model, self.known, self.weights, self.bias = model, known, weights, bias
 
     @cached_property
-    def extractor(self) -> Extractor:
+    def words(self) -> Numbered:
         """Kept in a worker for as long as its tasks use this scorer."""
-        return Extractor(Restorer(self.model), self.known)
+        return Numbered(Extractor(Restorer(self.model), self.known))
 
-    def inputs(self, extractor: Extractor, text: str) -> tuple[list[int], list[float]]:
-        """Each known feature twice: present, and its rate among the words."""
-        counts, words = extractor.counts(text)
-        n, ids = len(self.known), list(counts)
-        return ids + [i + n for i in ids], [1.0] * len(ids) + [min(3.0, math.sqrt(50 * counts[i] / max(words, 1))) for i in ids]
+    def inputs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, feature and rate among the words, of all known features that are present."""
+        which, feature, n, words = self.words.counts(texts)
+        return which, feature, np.minimum(3.0, np.sqrt(50 * n / np.maximum(words[which], 1)))
 
-    def score(self, extractor: Extractor, text: str) -> float:
-        ids, values = self.inputs(extractor, text)
-        z = self.bias + sum(self.weights[i] * x for i, x in zip(ids, values))
-        return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Each feature counts twice: as present, and by its rate."""
+        which, feature, rate = self.inputs(texts)
+        by_rate = self.weights[len(self.known) :]
+        z = self.bias + np.bincount(which, self.weights[feature] + by_rate[feature] * rate, minlength=len(texts)) if len(which) else np.full(len(texts), self.bias)
+        return 1 / (1 + np.exp(-np.clip(z, -30.0, 30.0)))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Scorer:
@@ -368,7 +437,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
 
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                (toxic if label else clean).update(extractor.counts(text)[0].keys())
+                (toxic if label else clean).update(extractor.present(text))
             if len(toxic) + len(clean) > 500_000:
                 yield out()
                 toxic.clear()
@@ -391,13 +460,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
         release()
         s = sent_scorer.value
         for batch in batches:
-            found = [s.inputs(s.extractor, t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch({"toxic": batch.column(0), "ids": pa.array([x for x, _ in found], pa.list_(pa.int32())), "x": pa.array([x for _, x in found], pa.list_(pa.float32()))})
+            which, feature, rate = s.inputs(batch.column(1).to_pylist())
+            ends = pa.array(np.searchsorted(which, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(ends, pa.array(feature.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(rate.astype(np.float32))))
+            yield pa.record_batch({"toxic": batch.column(0), "ids": lists[0], "x": lists[1]})
 
     got = texts.mapInArrow(inputs, "toxic int, ids array<int>, x array<float>").toArrow()  # TRAINING_ROWS at most
     ids = got.column("ids").combine_chunks()
     row = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(ids.offsets.to_numpy()))
-    places = (row, ids.flatten().to_numpy(), got.column("x").combine_chunks().flatten().to_numpy())
+    feature, rate = ids.flatten().to_numpy(), got.column("x").combine_chunks().flatten().to_numpy()
+    places = (np.concatenate([row, row]), np.concatenate([feature, feature + np.int32(len(known))]), np.concatenate([np.ones_like(rate), rate]))
     scorer.weights, scorer.bias = fit(*places, got.column("toxic").to_numpy().astype(float), 2 * len(known))
     return scorer
 
@@ -412,7 +484,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, scorer: Scorer | None = None) -
         release()
         s = sent.value
         for batch in batches:
-            yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array([s.score(s.extractor, t) for t in batch.column(1).to_pylist()], pa.float64())})
+            yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array(s.scores(batch.column(1).to_pylist()), pa.float64())})
 
     scored = id_and_text(docs).mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -432,6 +504,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         release()
         s = sent.value
         for batch in batches:
-            yield batch.filter(pa.array([s.score(s.extractor, t or "") < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array(s.scores([t or "" for t in batch.column(at).to_pylist()]) < 0.5))
 
     return docs.mapInArrow(keep, docs.schema)

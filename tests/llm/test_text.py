@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpuscle.llm import decontamination, licenses, ngram_join, quality_rules, toxicity
+from corpuscle.llm import decontamination, licenses, ngram_join, quality_rules, support, toxicity
 from corpuscle.llm.support import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, k int, root long, host string, local string"
@@ -127,6 +127,15 @@ def test_readers_decode_few_rows_at_once(spark):
         spark.conf.set(key, before)
 
 
+def test_words_are_let_go_for_other_operators():
+    ngram_join._keep_words()
+    ngram_join.grams("a b c d", 3)
+    assert len(ngram_join._words) >= 4
+    support.held(("another operator",), dict)
+    assert not ngram_join._words
+    support.release()
+
+
 def test_one_of_each(spark):
     kept = ngram_join.one_of_each(documents(spark, [(1, "a b c d e f", "s"), (2, "a b c d e f", "s"), (3, "", "s"), (4, "", "s"), (None, "a b c d e f", "s")]))
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 3, 4] and kept.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
@@ -173,6 +182,27 @@ def test_features_of_known_words_are_those_of_all_words():
     assert all(sorted(some[w]) == sorted(known[f] for f in every[w] if f in known) for w in words)
 
 
+def test_batches_of_texts_have_the_features_of_each(monkeypatch):
+    rnd = random.Random(5)
+    words = ["stupid", "stuff", "letter", "plain", "st@pid", "idi0t", "i.d.i.o.t", "(word", "word!", "ßtuff", "...", "be", "x" * 70]
+    model = toxicity.LanguageModel(dict(Counter(f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1))))
+    every = toxicity.Extractor(toxicity.Restorer(model))
+    texts = ["", " ", "I D I O T you", *(" ".join(rnd.choice(['"', "", ""]) + rnd.choice(words) + rnd.choice(["", ",", ".", "?'", "!"]) for _ in range(rnd.randrange(40))) for _ in range(200))]
+    assert all(every.present(t) == set(every.counts(t)[0]) for t in texts)
+    known = {f: i for i, f in enumerate(sorted({f for t in texts for f in every.present(t)})[::3])}
+    want = [Counter({known[f]: n for f, n in every.counts(t)[0].items() if f in known}) for t in texts]
+    numbered = toxicity.Numbered(toxicity.Extractor(toxicity.Restorer(model), known))
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 7)
+    monkeypatch.setattr(toxicity, "KEPT_FEATURES", 9)
+    for lo in range(0, len(texts), 50):
+        part = texts[lo : lo + 50]
+        which, feature, n, sizes = numbered.counts(part)
+        found = [Counter() for _ in part]
+        for i, f, k in zip(which.tolist(), feature.tolist(), n.tolist()):
+            found[i][f] += k
+        assert found == want[lo : lo + 50] and sizes.tolist() == [len(t.split()) for t in part]
+
+
 def test_trigrams_by_words():
     words, times = ["ab", "b", "übel", "a"], np.asarray([3, 1, 2, 5])
     found = dict(zip(*[list(x) for x in toxicity._trigrams(words, times)]))
